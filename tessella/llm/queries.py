@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import simhash
+from tessella.llm import packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: SimHash bit votes, alignments, lattices and tokenizers have no SQL form: brute-force versions in tests/llm check those.
@@ -28,3 +28,65 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(_documents(spark, sf_dir), width=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the common-line rules for every document; a document's source is its host."""
+    found = quality.assess(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
+
+
+ORACLES["op10_quality"] = r"""
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  placed AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM docs WHERE len(words) > 2),
+  windows AS (SELECT doc_id, i, words[i] || chr(32) || words[i + 1] || chr(32) || words[i + 2] AS w FROM placed),
+  twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1),
+  repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) AS r(k) GROUP BY doc_id),
+  line AS (SELECT doc_id, source, text, raw, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS parts FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw FROM docs)),
+  keyed AS (SELECT doc_id, source, text, raw, len(parts) AS n, translate(array_to_string(parts, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line WHERE len(parts) > 0),
+  dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM keyed GROUP BY doc_id),
+  hosts AS (SELECT source, count(DISTINCT text) AS n_texts FROM docs GROUP BY source),
+  common AS (SELECT k.source, k.key FROM keyed k JOIN hosts h ON k.source IS NOT DISTINCT FROM h.source GROUP BY k.source, k.key, h.n_texts HAVING count(DISTINCT k.text) > 20 AND count(DISTINCT k.text) > 0.1 * h.n_texts),
+  gone AS (SELECT k.doc_id, sum(k.n) AS n FROM keyed k JOIN common c ON k.source IS NOT DISTINCT FROM c.source AND k.key = c.key GROUP BY k.doc_id),
+  base AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(words) - coalesce(gone.n, 0) AS BIGINT) AS n_left
+    FROM docs d LEFT JOIN dup USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_left >= 0.5 * n_words AS kept FROM base
+"""
+
+
+@_query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length buckets and token-budget batches of all documents, a token being a word."""
+    return packing.pack(_documents(spark, sf_dir), packing.word_count(F.col("text")))
+
+
+def _packing_sql(window: int = 2048, buckets: int = 8, budget: int = 16384) -> str:
+    """One table of best boundaries for each number of buckets; ties take the smaller previous boundary."""
+    steps = ["d1 AS (SELECT j, l * r - t AS cost, [l] AS ends FROM h)"]
+    steps += [
+        f"d{k} AS (SELECT h.j, min(d.cost + h.l * (h.r - i.r) - (h.t - i.t)) AS cost, list_append(arg_min(d.ends, CAST(d.cost + h.l * (h.r - i.r) - (h.t - i.t) AS HUGEINT) * 1000000 + i.j), any_value(h.l)) AS ends"
+        f" FROM d{k - 1} d JOIN h i ON i.j = d.j JOIN h ON h.j > d.j GROUP BY h.j)"
+        for k in range(2, buckets + 1)
+    ]
+    last = " UNION ALL ".join(f"SELECT {k} AS k, ends FROM d{k} WHERE j = (SELECT max(j) FROM h)" for k in range(1, buckets + 1))
+    return f"""
+WITH whole AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
+  cut AS (SELECT doc_id, n, unnest(range(greatest(1, CAST(ceil(n / {window}.0) AS BIGINT)))) AS segment FROM whole),
+  segments AS (SELECT doc_id, segment, segment * {window} AS start, least({window}, n - segment * {window}) AS n_tokens FROM cut),
+  h AS (SELECT row_number() OVER (ORDER BY n_tokens) AS j, n_tokens AS l, CAST(sum(count(*)) OVER (ORDER BY n_tokens) AS BIGINT) AS r, CAST(sum(n_tokens * count(*)) OVER (ORDER BY n_tokens) AS BIGINT) AS t FROM segments GROUP BY n_tokens),
+  {", ".join(steps)},
+  best AS (SELECT ends FROM ({last}) ORDER BY k DESC LIMIT 1),
+  bucket AS (SELECT CAST(k - 1 AS INT) AS bucket, ends[k] AS bucket_len, CASE WHEN k > 1 THEN ends[k - 1] ELSE -1 END AS low, greatest(1, {budget} // greatest(1, ends[k])) AS room FROM best, range(1, 1 + (SELECT len(ends) FROM best)) AS r(k)),
+  numbered AS (SELECT s.*, b.bucket, b.bucket_len, b.room, row_number() OVER (PARTITION BY b.bucket ORDER BY doc_id, segment) - 1 AS pos FROM segments s JOIN bucket b ON s.n_tokens > b.low AND s.n_tokens <= b.bucket_len),
+  many AS (SELECT bucket, max(pos // room) + 1 AS batches FROM numbered GROUP BY bucket),
+  before AS (SELECT bucket, coalesce(sum(batches) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM many)
+SELECT doc_id, CAST(segment AS INT) AS segment, CAST(start AS BIGINT) AS start, CAST(n_tokens AS BIGINT) AS n_tokens, bucket, CAST(bucket_len AS BIGINT) AS bucket_len,
+  CAST(first + pos // room AS BIGINT) AS batch, CAST(pos % room AS INT) AS slot FROM numbered JOIN before USING (bucket)
+"""
+
+
+ORACLES["op2_packing"] = _packing_sql()
