@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import packing, quality, simhash
+from tessella.llm import bpe, linededup, packing, quality, simhash
+
+#: Where the vocabulary files of public tokenizers stand; never part of the repository.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: SimHash bit votes, alignments, lattices and tokenizers have no SQL form: brute-force versions in tests/llm check those.
@@ -90,3 +94,24 @@ SELECT doc_id, CAST(segment AS INT) AS segment, CAST(start AS BIGINT) AS start,
 
 
 ORACLES["op2_packing"] = _packing_sql()
+
+
+@_query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines and a digest of the remaining text for every document."""
+    found = linededup.dedup_lines(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+def _tokenizer(name: str) -> str:
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return os.path.join(TOKENIZERS, name)
+    return public_tokenizers.path(name)
+
+
+@_query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count, and digests of the ids and of the decoded ids, of every document."""
+    return bpe.digests(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
