@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, linededup, packing, quality, simhash
+from tessella.llm import bpe, linededup, packing, quality, simhash, toxicity
 
 #: Where the vocabulary files of public tokenizers stand; never part of the repository.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -115,3 +115,17 @@ def _tokenizer(name: str) -> str:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count, and digests of the ids and of the decoded ids, of every document."""
     return bpe.digests(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of three quarters of the ids."""
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(_remainder(4) != 2))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
