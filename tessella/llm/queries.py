@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, linededup, packing, quality, simhash, toxicity
+from tessella.llm import bpe, linededup, lm, packing, quality, simhash, toxicity
 
 #: Where the vocabulary files of public tokenizers stand; never part of the repository.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -129,3 +129,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.where(_remainder(4) != 2))
     found = toxicity.score(docs, model)
     return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of every document under the subword lattice, learned from four fifths of the ids."""
+    found = lm.score(_documents(spark, sf_dir), _remainder(5) != 1, lm.Pieces.read(_tokenizer("piece_bpe_32k.model")), kind=F.col("lang"))
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
