@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, linededup, lm, packing, quality, simhash, toxicity
+from tessella.llm import bpe, linededup, lm, packing, quality, simhash, sketch, toxicity
 
 #: Where the vocabulary files of public tokenizers stand; never part of the repository.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -136,3 +136,13 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every document under the subword lattice, learned from four fifths of the ids."""
     found = lm.score(_documents(spark, sf_dir), _remainder(5) != 1, lm.Pieces.read(_tokenizer("piece_bpe_32k.model")), kind=F.col("lang"))
     return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likenesses."""
+    found = sketch.edited(_documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), sketch.as_hex(F.col("sketch")).alias("fingerprint"), sketch.as_hex(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), sketch.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
