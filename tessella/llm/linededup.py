@@ -24,8 +24,8 @@ from tessella.llm.scratch import Scratch
 
 #: Lines verified together; a larger bucket is split.
 BLOCK = 512
-#: Rows of a semi-join's keys that are broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a join's smaller side that are broadcast, and of a side of single longs; beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_LONGS = 1_000_000, 4_000_000
 _CHARS_AT_ONCE = 1 << 17
 _SIGNATURE = "doc_id long, pos int, key binary, sig array<long>"
 
@@ -134,60 +134,67 @@ def _occurrences(width: int, bands: int, rows: int):
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each text at the positions asked for."""
     for batch in batches:
         lines = {}
-        for _, _, line in _split(batch):
-            lines.setdefault(_key(line), line)
+        for text, wanted in zip(batch.column("text"), batch.column("wanted")):
+            parts = (text.as_py() or "").split("\n")
+            for pos in set(wanted.as_py()):
+                if pos < len(parts) and (line := normal(parts[pos])):
+                    lines.setdefault(_key(line), line)
         yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.binary()), pa.array(list(lines.values()), pa.string())], ["key", "line"])
 
 
 def _verify(width: int, similarity: float):
-    """Edges between the lines of a group; lines of one class (column ``known``) need none."""
+    """Edges that join the lines of a group that are linked, directly or by others; ``known`` names what is joined already.
+
+    A line is compared with a class, nearest size first, until one member is near enough: the rest of
+    that class can add nothing. Lines of one ``side``, if not negative, have been compared elsewhere.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         keys, sides, known = (table.column(c).to_pylist() for c in ("key", "side", "known"))
         sets = [shingles(x, width) for x in table.column("line").to_pylist()]
         order = sorted(range(len(keys)), key=lambda i: (len(sets[i]), keys[i]))
-        up = list(range(len(keys)))
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        first: dict[bytes, int] = {}
-        for i, k in enumerate(known):
-            up[i] = first.setdefault(k, i)
+        place = {i: n for n, i in enumerate(order)}
         a, b = [], []
-        for n, i in enumerate(order):
-            for j in reversed(order[:n]):
-                if len(sets[j]) < similarity * len(sets[i]):
-                    break
-                if (len(sides) and sides[i] == sides[j] and sides[i] >= 0) or root(i) == root(j):
-                    continue
-                shared = len(sets[i] & sets[j])
-                if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
-                    up[root(i)] = root(j)
-                    a.append(keys[i])
-                    b.append(keys[j])
+        groups: list[list[int]] = []  # classes so far, members by ascending size
+        for i in order:
+            least, mine, others = similarity * len(sets[i]), [], []
+            for group in groups:
+                for j in reversed(group):
+                    if known[i] == known[j]:
+                        mine.append(group)
+                        break
+                    if len(sets[j]) < least or (sides[i] == sides[j] and sides[i] >= 0):
+                        continue
+                    shared = len(sets[i] & sets[j])
+                    if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
+                        a.append(keys[i])
+                        b.append(keys[j])
+                        mine.append(group)
+                        break
+                else:
+                    others.append(group)
+            joined = [i] if not mine else sorted([*(j for g in mine for j in g), i], key=place.__getitem__) if len(mine) > 1 else [*mine[0], i]
+            groups = [*others, joined]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
 
-def _meant(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows of ``df`` whose key is in ``keys``, a written table: broadcast if its counted rows allow, else shuffled."""
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, "left_semi")
+def _small(table: DataFrame, rows: int | None = None, most: int | None = None) -> DataFrame:
+    """A written table, to be broadcast if its counted rows allow; else joins with it shuffle."""
+    return F.broadcast(table) if (table.count() if rows is None else rows) <= (BROADCAST_ROWS if most is None else most) else table
 
 
-def line_links(docs: DataFrame, occurrences: DataFrame, scratch: Scratch, width: int, similarity: float, block: int) -> DataFrame:
-    """(node, component) of all lines that resemble another."""
+def line_links(docs: DataFrame, occurrences: DataFrame, named: DataFrame, scratch: Scratch, width: int, similarity: float, block: int) -> DataFrame:
+    """(node, component) of all lines that resemble another; ``named`` has a place of each line, to read it from."""
     bands = occurrences.where("sig is not null").select(F.explode("sig").alias("bucket"), "key")
     mark = F.xxhash64("key")
     live = bands.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("bucket")
     live = scratch.table(live, "live")
-    members = scratch.table(_meant(bands, live, "bucket").distinct(), "members")
+    members = scratch.table(bands.join(_small(live, most=BROADCAST_LONGS), "bucket", "left_semi").distinct(), "members")
     scratch.drop("live")
     # Bands that agree on the same lines say the same: one bucket of each set of lines is enough.
     sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(20,0)")).alias("mark"), F.min("key").alias("low"), F.max("key").alias("high"))
@@ -195,7 +202,9 @@ def line_links(docs: DataFrame, occurrences: DataFrame, scratch: Scratch, width:
     members = scratch.table(members.join(sets, "bucket"), "sets")
     scratch.drop("members")
     wanted = scratch.table(members.select("key").distinct(), "wanted")
-    lines = _meant(docs.mapInArrow(_texts, "key binary, line string"), wanted, "key").groupBy("key").agg(F.first("line").alias("line"))
+    places = named.join(_small(wanted), "key", "left_semi").groupBy("first.doc_id").agg(F.collect_list("first.pos").alias("wanted"))
+    texts = docs.join(_small(scratch.table(places, "places")), "doc_id").select("text", "wanted")
+    lines = texts.mapInArrow(_texts, "key binary, line string").groupBy("key").agg(F.first("line").alias("line"))
     lines = scratch.table(lines, "lines")
     part = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
     members = members.withColumn("part", part)
@@ -203,7 +212,7 @@ def line_links(docs: DataFrame, occurrences: DataFrame, scratch: Scratch, width:
     edges = scratch.table(whole.groupBy("bucket", "part").applyInArrow(_verify(width, similarity), "a binary, b binary"), "edges")
     large = members.where("blocks > 1")
     if not large.isEmpty():
-        classes = scratch.table(connected_components(edges, scratch, "first"), "classes")
+        classes = scratch.table(connected_components(edges, scratch, "first"), "early")
         marked = scratch.table(large.join(classes, large.key == classes.node, "left").select("bucket", "key", "part", "blocks", F.coalesce("component", "key").alias("known")), "marked")
         open_ = marked.groupBy("bucket").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high").select("bucket")
         # Each pair of blocks is a task of its own: (i, part) for i < part, and (part, j) for j > part.
@@ -224,24 +233,31 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     every = scratch.table(docs.mapInArrow(_occurrences(width, bands, rows), _SIGNATURE), "occurrences")
-    classes = scratch.table(line_links(docs, every, scratch, width, similarity, block), "named")
-    lines = every.join(classes, every.key == classes.node, "left").select("doc_id", "pos", F.coalesce("component", "key").alias("line"))
-    lines = scratch.table(lines, "classed")
-    scratch.drop("occurrences", "sets", "wanted", "lines", "edges", "marked", "more")
-    first = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").select("line", "first")
-    first = scratch.table(first, "kept")
-    gone = lines.join(first, "line").where(F.struct("doc_id", "pos") != F.col("first"))
+    named = scratch.table(every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")), "named")
+    classes = scratch.table(line_links(docs, every, named, scratch, width, similarity, block), "classes")
+    scratch.drop("sets", "wanted", "places", "lines", "edges", "marked", "more")
+    # Of a line that occurs once and resembles no other there is nothing to remove; the rest is looked up.
+    met = named.join(classes, named.key == classes.node, "left").where("n > 1 or component is not null")
+    met = scratch.table(met.select("key", "n", "first", F.coalesce("component", "key").alias("line")), "met")
+    first = met.groupBy("line").agg(F.min("first").alias("kept"))
+    repeated = met.join(first, "line").where("n > 1 or first <> kept").select("key", "kept")
+    gone = every.select("doc_id", "pos", "key").join(_small(scratch.table(repeated, "repeated")), "key").where(F.struct("doc_id", "pos") != F.col("kept"))
     return scratch.table(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
 
 
+def joined(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, ...) with the line numbers to remove, null for none; ``gone`` is broadcast if all its numbers are few enough."""
+    return docs.join(_small(gone, gone.agg(F.sum(F.size("gone"))).first()[0] or 0), "doc_id", "left")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """doc_id, n_lines (lines with a word), n_removed and clean_text for every row of ``docs``; see ``repeats``.
 
     A null text stays null. A text that loses nothing is unchanged to the byte.
     """
     gone = repeats(docs, id_col, text_col, **how)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(gone, "doc_id", "left")
-    return rows.select(
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return joined(rows, gone).select(
         "doc_id",
         F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("[^ \\t-\\r]"))).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
