@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, linededup, lm, packing, quality, simhash, sketch, toxicity
+from tessella.llm import bpe, licenses, linededup, lm, packing, quality, simhash, sketch, toxicity
 
 #: Where the vocabulary files of public tokenizers stand; never part of the repository.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -146,3 +146,9 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), sketch.as_hex(F.col("sketch")).alias("fingerprint"), sketch.as_hex(F.col("edited_sketch")).alias("edited_fingerprint"),
         sketch.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), sketch.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )
+
+
+@_query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place in the documents where a license notice is covered to four fifths or more."""
+    return licenses.scan(_documents(spark, sf_dir), coverage=0.8)
