@@ -25,7 +25,7 @@ from tessella.llm.scratch import Scratch
 
 #: A chunk ends, on average, once in 2 ** BITS bytes, and never within LEAST bytes of the last end.
 BITS, LEAST = 10, 256
-#: Owners of shared chunks that are broadcast to the scan of the texts; beyond it that join shuffles.
+#: Owners and names of shared chunks that are broadcast to a scan; beyond it that join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,7 +61,7 @@ class Codec:
             self.bytes[x["id"]] = token.encode()
         self.sizes = np.array([len(x) for x in self.bytes], np.int64)
         self.digits = [str(k) for k in range(len(self.bytes))]
-        self.special = [x.encode() for x in added]
+        self.kind = "<u2" if len(self.bytes) <= 1 << 16 else "<u4"
         if self._plain(spec, vocab, added):
             import tiktoken
 
@@ -230,7 +230,7 @@ def _encode_owned(path: str):
                 wanted = set(owned.as_py())
                 for raw, s, e in _chunks(text.as_py()):
                     if (name := _name(raw[s:e])) in wanted and name not in found:
-                        found[name] = np.array(codec.encode(raw[s:e].decode()), "<u4").tobytes()
+                        found[name] = np.array(codec.encode(raw[s:e].decode()), codec.kind).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["name", "ids"])
 
     return run
@@ -242,7 +242,7 @@ def _assemble(path: str, digests: bool):
         for batch in batches:
             columns: list[list] = [[], [], []]
             for text, names, tokens in zip(batch.column("text"), batch.column("names"), batch.column("tokens")):
-                known = {n: np.frombuffer(t, "<u4") for n, t in zip(names.as_py() or (), tokens.as_py() or ())}
+                known = {n: np.frombuffer(t, codec.kind) for n, t in zip(names.as_py() or (), tokens.as_py() or ())}
                 ids = encode_with(codec, text.as_py(), known)
                 columns[0].append(len(ids))
                 if digests:
@@ -269,8 +269,9 @@ def _with_shared(docs: DataFrame, path: str, id_col: str, text_col: str) -> Data
     owned = docs.join(F.broadcast(owners) if owners.count() <= BROADCAST_ROWS else owners, "doc_id")
     tokens = owned.select("text", "owned").mapInArrow(_encode_owned(path), "name binary, ids binary")
     tokens = scratch.table(tokens.groupBy("name").agg(F.first("ids").alias("ids")), "tokens")
-    held = refs.join(tokens, "name").groupBy("doc_id", "name").agg(F.first("ids").alias("ids"))
-    held = held.groupBy("doc_id").agg(F.collect_list(F.struct("name", "ids")).alias("held")).select("doc_id", F.col("held.name").alias("names"), F.col("held.ids").alias("tokens"))
+    names = tokens.select("name")
+    used = refs.join(F.broadcast(names) if names.count() <= BROADCAST_ROWS else names, "name", "left_semi")
+    held = used.join(tokens, "name").groupBy("doc_id").agg(F.collect_list(F.struct("name", "ids")).alias("held")).select("doc_id", F.col("held.name").alias("names"), F.col("held.ids").alias("tokens"))
     return docs.join(held, "doc_id", "left")
 
 
