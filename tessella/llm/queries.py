@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, licenses, linededup, lm, packing, quality, simhash, sketch, toxicity
+from tessella.llm import bpe, licenses, linededup, lm, packing, quality, scratch, sharding, simhash, sketch, toxicity
 
 #: Where the vocabulary files of public tokenizers stand; never part of the repository.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -152,3 +152,26 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place in the documents where a license notice is covered to four fifths or more."""
     return licenses.scan(_documents(spark, sf_dir), coverage=0.8)
+
+
+ARRIVALS = 8
+
+
+@_query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through a shard store: eight arrivals by ranges of the id, compaction after each, read from the last manifest."""
+    docs = _documents(spark, sf_dir)
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // ARRIVALS))
+    arrival = F.coalesce(F.floor((F.col("doc_id") - (low or 0)) / width), F.lit(0)).cast("int")
+    store = sharding.ShardStore(spark, scratch.Scratch(spark, "shards").path, target=64 << 20)
+    for k in range(ARRIVALS):
+        store.append(docs.where(arrival == k))
+        store.compact(keep=1)
+    return store.read().select("doc_id", arrival.alias("arrival"), "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
+ORACLES["op4_sharding"] = f"""
+WITH ends AS (SELECT min(doc_id) AS low, greatest(1, CAST(ceil((max(doc_id) - min(doc_id) + 1) / {ARRIVALS}.0) AS BIGINT)) AS width FROM documents)
+SELECT doc_id, CAST(coalesce((doc_id - low) // width, 0) AS INT) AS arrival, lang, source, n_chars, md5(text) AS text_md5 FROM documents, ends
+"""
