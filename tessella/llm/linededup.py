@@ -24,6 +24,8 @@ from tessella.llm.scratch import Scratch
 
 #: Lines verified together; a larger bucket is split.
 BLOCK = 512
+#: Lines, on average, that one call of the verification gets.
+CALL = 4096
 #: Rows of a join's smaller side that are broadcast, and of a side of single longs; beyond it the join shuffles.
 BROADCAST_ROWS, BROADCAST_LONGS = 1_000_000, 4_000_000
 _CHARS_AT_ONCE = 1 << 17
@@ -45,6 +47,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_BASE = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_hashes(line: str, width: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, ascending; eight bytes for each, however long the line."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    w = min(width, len(codes))
+    n = len(codes) - w + 1
+    hashes = codes[:n] * _BASE[0]
+    for k in range(1, w):
+        hashes += codes[k : k + n] * _BASE[k]
+    return np.unique(_mix(hashes))
+
+
 class _Signer:
     """Band keys of many lines at once."""
 
@@ -152,37 +168,48 @@ def _verify(width: int, similarity: float):
     that class can add nothing. Lines of one ``side``, if not negative, have been compared elsewhere.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        keys, sides, known = (table.column(c).to_pylist() for c in ("key", "side", "known"))
-        sets = [shingles(x, width) for x in table.column("line").to_pylist()]
-        order = sorted(range(len(keys)), key=lambda i: (len(sets[i]), keys[i]))
-        place = {i: n for n, i in enumerate(order)}
-        a, b = [], []
+    def joined(lines: list[tuple[bytes, np.ndarray, int, bytes]]) -> Iterator[tuple[bytes, bytes]]:
+        lines.sort(key=lambda x: (len(x[1]), x[0]))
         groups: list[list[int]] = []  # classes so far, members by ascending size
-        for i in order:
-            least, mine, others = similarity * len(sets[i]), [], []
+        for i, (key, own, side, known) in enumerate(lines):
+            least, mine, others = similarity * len(own), [], []
             for group in groups:
                 for j in reversed(group):
-                    if known[i] == known[j]:
+                    other = lines[j]
+                    if known == other[3]:
                         mine.append(group)
                         break
-                    if len(sets[j]) < least or (sides[i] == sides[j] and sides[i] >= 0):
+                    if len(other[1]) < least or (side == other[2] and side >= 0):
                         continue
-                    shared = len(sets[i] & sets[j])
-                    if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
-                        a.append(keys[i])
-                        b.append(keys[j])
+                    shared = len(np.intersect1d(own, other[1], assume_unique=True))
+                    if shared >= similarity * (len(own) + len(other[1]) - shared):
+                        yield key, other[0]
                         mine.append(group)
                         break
                 else:
                     others.append(group)
-            joined = [i] if not mine else sorted([*(j for g in mine for j in g), i], key=place.__getitem__) if len(mine) > 1 else [*mine[0], i]
-            groups = [*others, joined]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+            groups = [*others, sorted([*(j for g in mine for j in g), i]) if len(mine) > 1 else [*mine[0], i] if mine else [i]]
+
+    def run(table: pa.Table) -> pa.Table:
+        sets: dict[bytes, np.ndarray] = {}
+        by_group: dict[int, list] = {}
+        for group, key, line, side, known in zip(*(table.column(c).to_pylist() for c in ("group", "key", "line", "side", "known"))):
+            if key not in sets:
+                sets[key] = shingle_hashes(line, width)
+            by_group.setdefault(group, []).append((key, sets[key], side, known))
+        edges = [e for lines in by_group.values() for e in joined(lines)]
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
 
     return run
 
 
+def _verified(rows: DataFrame, width: int, similarity: float, total: int) -> DataFrame:
+    """Edges of all groups; many small groups share a call, those that share lines preferably (column ``near``)."""
+    calls = -(-total // CALL)
+    rows = rows.select("group", "key", "line", "side", "known", F.pmod(F.col("near"), F.lit(max(1, calls))).alias("call"))
+    return rows.groupBy("call").applyInArrow(_verify(width, similarity), "a binary, b binary")
+
+
 def _small(table: DataFrame, rows: int | None = None, most: int | None = None) -> DataFrame:
     """A written table, to be broadcast if its counted rows allow; else joins with it shuffle."""
     return F.broadcast(table) if (table.count() if rows is None else rows) <= (BROADCAST_ROWS if most is None else most) else table
@@ -198,7 +225,7 @@ def line_links(docs: DataFrame, occurrences: DataFrame, named: DataFrame, scratc
     scratch.drop("live")
     # Bands that agree on the same lines say the same: one bucket of each set of lines is enough.
     sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(20,0)")).alias("mark"), F.min("key").alias("low"), F.max("key").alias("high"))
-    sets = sets.groupBy("n", "mark", "low", "high").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    sets = sets.groupBy("n", "mark", "low", "high").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.xxhash64("low").alias("low"))
     members = scratch.table(members.join(sets, "bucket"), "sets")
     scratch.drop("members")
     wanted = scratch.table(members.select("key").distinct(), "wanted")
@@ -208,8 +235,8 @@ def line_links(docs: DataFrame, occurrences: DataFrame, named: DataFrame, scratc
     lines = scratch.table(lines, "lines")
     part = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
     members = members.withColumn("part", part)
-    whole = members.join(lines, "key").withColumn("side", F.lit(-1)).withColumn("known", F.col("key"))
-    edges = scratch.table(whole.groupBy("bucket", "part").applyInArrow(_verify(width, similarity), "a binary, b binary"), "edges")
+    whole = members.join(lines, "key").select("key", "line", F.xxhash64("bucket", "part").alias("group"), F.xxhash64("low", "part").alias("near"), F.lit(-1).alias("side"), F.col("key").alias("known"))
+    edges = scratch.table(_verified(whole, width, similarity, members.count()), "edges")
     large = members.where("blocks > 1")
     if not large.isEmpty():
         classes = scratch.table(connected_components(edges, scratch, "first"), "early")
@@ -217,8 +244,9 @@ def line_links(docs: DataFrame, occurrences: DataFrame, named: DataFrame, scratc
         open_ = marked.groupBy("bucket").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high").select("bucket")
         # Each pair of blocks is a task of its own: (i, part) for i < part, and (part, j) for j > part.
         pairs = marked.join(open_, "bucket").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other <> part")
-        pairs = pairs.join(lines, "key").select("bucket", "key", "line", "known", F.col("part").alias("side"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        edges = edges.unionByName(scratch.table(pairs.groupBy("bucket", "i", "j").applyInArrow(_verify(width, similarity), "a binary, b binary"), "more"))
+        pairs = scratch.table(pairs.select("key", "known", F.col("part").alias("side"), F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("group")), "pairs")
+        more = _verified(pairs.join(lines, "key").withColumn("near", F.col("group")), width, similarity, pairs.count())
+        edges = edges.unionByName(scratch.table(more, "more"))
     return connected_components(edges, scratch, "last")
 
 
@@ -235,7 +263,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     every = scratch.table(docs.mapInArrow(_occurrences(width, bands, rows), _SIGNATURE), "occurrences")
     named = scratch.table(every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")), "named")
     classes = scratch.table(line_links(docs, every, named, scratch, width, similarity, block), "classes")
-    scratch.drop("sets", "wanted", "places", "lines", "edges", "marked", "more")
+    scratch.drop("sets", "wanted", "places", "lines", "edges", "marked", "pairs", "more")
     # Of a line that occurs once and resembles no other there is nothing to remove; the rest is looked up.
     met = named.join(classes, named.key == classes.node, "left").where("n > 1 or component is not null")
     met = scratch.table(met.select("key", "n", "first", F.coalesce("component", "key").alias("line")), "met")
