@@ -16,10 +16,11 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
+from tessella.llm.quality import restored
 from tessella.llm.scratch import Scratch
 
 #: Lines verified together; a larger bucket is split.
@@ -293,6 +294,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def without(text, gone):
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with its columns, each text without the lines that ``repeats`` names; an emptied document stays, with an empty text."""
+    gone = repeats(docs, id_col, text_col, **how)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.col("row").getField(text_col)
+    return restored(joined(rows, gone), docs.columns, without(text, F.col("gone")), text_col)
+
+
+def without(text: Column, gone: Column) -> Column:
     """``text`` without the lines that ``gone`` numbers; null ``gone`` removes none."""
     return F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))

@@ -82,11 +82,12 @@ def common_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sourc
 
 
 def assess(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, share: float = 0.1, keep: float = 0.5, min_words: int = 50, repeat_percent: int = 50, with_text: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, share: float = 0.1, keep: float = 0.5, min_words: int = 50, repeat_percent: int = 50, with_text: bool = False, carry: bool = False
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, counts, base_failed, n_left (words outside common lines), kept.
 
-    ``with_text`` adds clean_text, the text without its common lines. Null texts have no words; null
+    ``with_text`` adds clean_text, the text without its common lines; ``carry`` adds row, a struct of the
+    columns of ``docs``. Null texts have no words; null
     ids are passed on; rows with a null host are a host of their own; repeated rows give repeated
     results and count once. A text without words has failed. Other columns are not read. An empty
     table gives an empty table.
@@ -94,11 +95,12 @@ def assess(
     scratch = Scratch(docs.sparkSession, "quality")
     common = scratch.table(common_lines(docs, text_col, host_col, min_docs, share), "common")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("text"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("text"), *row)
     rows = rows.select("*", words(F.col("text")).alias("words"), lines(F.col("text")).alias("lines"))
     rows = repeated_windows(rows)
     rows = rows.select(
-        "doc_id", "host", *(["text"] if with_text else []), "n_repeat_words",
+        "doc_id", "host", *(["text"] if with_text else []), *(["row"] if carry else []), "n_repeat_words",
         F.size("words").cast("long").alias("n_words"),
         F.length(_bare(F.col("text"))).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -117,4 +119,24 @@ def assess(
         stays = F.filter(F.split("text", "\n"), lambda x: (_bare(x) == "") | ~F.array_contains("common", line_key(x)))
         met = met.withColumn("clean_text", F.when(F.col("common").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
         out.append("clean_text")
+    if carry:
+        out.append("row")
     return met.select(*out, kept.alias("kept"))
+
+
+def restored(rows: DataFrame, columns: list[str], text: Column, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The columns that ``row`` carries, with a new text, and its length where there is a column for it."""
+
+    def value(c: str) -> Column:
+        if c == text_col:
+            return text
+        held = F.col("row").getField(c)
+        return F.length(text).cast("long") if c == length_col else held
+
+    return rows.select(*(value(c).alias(c) for c in columns))
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **how) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns, their texts without common lines; see ``assess``."""
+    found = assess(docs, id_col, text_col, host_col, with_text=True, carry=True, **how).where("kept")
+    return restored(found, docs.columns, F.col("clean_text"), text_col)

@@ -23,6 +23,8 @@ from tessella.llm.scratch import Scratch
 
 SEED = 42
 QUARTERS = 4
+#: Ids that are broadcast; beyond it the join shuffles.
+BROADCAST_IDS = 4_000_000
 #: Fingerprints in a block: one task holds one block, and one block of each of at most 21 tiles.
 BLOCK = 4096
 #: Characters of a text that are split into words at once.
@@ -175,7 +177,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component of the rows that share their fingerprint, null where there is none. Other columns of
     ``docs`` are not read. An empty table gives an empty table.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
+    return _classed(docs, id_col, text_col, width, radius, block, Scratch(docs.sparkSession, "simhash"))
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, block: int, scratch: Scratch) -> DataFrame:
     every = scratch.table(fingerprints(docs, id_col, text_col, width), "prints")
     prints = scratch.table(every.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     classes = connected_components(links(prints, radius, block), scratch)
@@ -183,3 +188,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = scratch.table(named, "named")
     scratch.drop("distinct")
     return every.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, unchanged, that stand for their component: those of its smallest id.
+
+    Of rows of one id that would both stay, one does. Rows with a null id cannot be named and stay.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    found = scratch.table(_classed(docs, id_col, text_col, width, radius, block, scratch).where("doc_id is not null"), "found")
+    gone = scratch.table(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    again = scratch.table(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    row = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = row.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    if not again.isEmpty():
+        once = kept.join(again, "doc_id").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

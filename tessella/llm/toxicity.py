@@ -16,8 +16,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the model is fitted on, at most: those of the lowest hash of their id.
@@ -241,6 +242,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
+def _probability(model: Model, found: set[str]) -> float:
+    margin = model.bias + sum(model.weights[f] for f in sorted(found))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, evidence) for every row: the probability of a toxic label, and the features that raise it.
 
@@ -253,9 +259,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             scores, why = [], []
             for text in batch.column(1):
-                found = sorted(read(text.as_py()))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, model.bias + sum(model.weights[f] for f in found))))))
-                why.append([f for f in found if model.weights[f] > 0])
+                found = read(text.as_py())
+                scores.append(_probability(model, found))
+                why.append(sorted(f for f in found if model.weights[f] > 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(why, pa.list_(pa.string()))], ["doc_id", "score", "evidence"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<string>")
+
+
+def score_column(model: Model, text: Column) -> Column:
+    """The score of a text column, for use in any expression."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        read = _Reader(model.chars, model.weights)
+        for texts in batches:
+            yield pd.Series([_probability(model, read(t)) for t in texts], dtype="float64")
+
+    return run(text.cast("string"))
+
+
+def keep_civil(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, unchanged."""
+    return docs.where(score_column(model, F.col(f"`{text_col}`")) < limit)
