@@ -124,19 +124,22 @@ def assess(
     return met.select(*out, kept.alias("kept"))
 
 
-def restored(rows: DataFrame, columns: list[str], text: Column, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """The columns that ``row`` carries, with a new text, and its length where there is a column for it."""
+def restored(rows: DataFrame, columns: list[str], text: Column, text_col: str = "text", length_col: str = "n_chars", size: Column | None = None) -> DataFrame:
+    """The columns that ``row`` carries, with a new text, and its length (``size``) where there is a column for it."""
+    size = F.length(text).cast("long") if size is None else size
 
     def value(c: str) -> Column:
         if c == text_col:
             return text
         held = F.col("row").getField(c)
-        return F.length(text).cast("long") if c == length_col else held
+        return size if c == length_col else held
 
     return rows.select(*(value(c).alias(c) for c in columns))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **how) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns, their texts without common lines; see ``assess``."""
-    found = assess(docs, id_col, text_col, host_col, with_text=True, carry=True, **how).where("kept")
-    return restored(found, docs.columns, F.col("clean_text"), text_col)
+    found = assess(docs, id_col, text_col, host_col, with_text=True, carry=True, **how)
+    # Not a filter: pushed down, its expressions would be computed a second time for every row.
+    kept = found.select(F.explode(F.when(F.col("kept"), F.array(F.struct("row", F.col("clean_text").alias("text"), F.length("clean_text").cast("long").alias("n"))))).alias("k")).select("k.row", "k.text", "k.n")
+    return restored(kept, docs.columns, F.col("text"), text_col, size=F.col("n"))

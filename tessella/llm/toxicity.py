@@ -146,7 +146,8 @@ class _Reader:
     def _read(self, token: str) -> tuple[str, ...]:
         words = set() if " " in token else {token.strip(_STRIP)}
         if " " in token or _SUSPECT.search(token):
-            words |= {w.strip(_STRIP) for w in restore(token.strip(".,;:?\"'()[]{}<>«»¿…"), self.chars).split()}
+            # Signs at the ends may be letters or mere punctuation: both readings count.
+            words |= {w.strip(_STRIP) for form in {token.strip(".,;:?\"'()[]{}<>«»¿…"), token.strip(_STRIP)} for w in restore(form, self.chars).split()}
         found = {f for w in words for f in _parts(w)}
         return tuple(found if self.base is None else found & self.base)
 

@@ -25,7 +25,7 @@ def corpus():
 
     texts = [prose(rng.randint(1, 160)) for _ in range(60)]
     texts += [texts[3], texts[3], texts[7] + " tail", texts[9].replace("a", "A", 2), "", None, "   \n\t ", "one", "two words", prose(6000)]
-    texts += ["Shared line of every page here\n" + prose(60) for _ in range(30)]
+    texts += ["Shared line of every page here\n" + prose(60) for _ in range(80)]
     rows = [(k, t, "en" if k % 3 else None, None if k % 11 == 0 else f"s{k % 2}", len(t) if t is not None else None) for k, t in enumerate(texts)]
     return rows + [rows[5], rows[5], (None, "a text without an id", None, None, 20), (None, None, None, None, None)]
 

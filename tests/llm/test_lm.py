@@ -108,7 +108,7 @@ def test_score_by_hand(spark, pieces):
 
 def test_nothing_learned_and_empty(docs, none, clashing, pieces, corpus):
     rows = lm.score(docs, F.lit(False), pieces).collect()
-    assert len(rows) == len(corpus) and all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and r.score < 0 for r in rows)
+    assert len(rows) == len(corpus) and all(r.n_known == 0 and r.train_tokens == 0 and abs(r.base_score) < 1e-9 and r.score < 0 for r in rows)
     assert lm.score(none, F.lit(True), pieces).count() == 0
     assert lm.score(clashing, F.col("doc_id") > 3, pieces).count() == len(corpus)
 
