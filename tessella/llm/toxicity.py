@@ -99,7 +99,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         while i + n < len(token) and token[i + n] == c:
             n += 1
         if c.isalpha():
-            steps.append([(c, 0.0)] if n == 1 else [(c, 0.5), (c * 2, 0.0 if n == 2 else 0.5)])
+            steps.append([(c * n, 0.0)] if n < 3 else [(c, 0.5), (c * 2, 0.5)])
         else:
             options = [(x * k, 1.0 + 0.5 * (n - k)) for x in LEET.get(c, "") for k in range(1, min(n, 2) + 1)]
             if c in _GAPS:
