@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.vectors import Vec, num, transform_direction, transform_point
+from tessella.functions.vectors import Vec, let, num, transform_direction, transform_point
 
 OUTSIDE, INTERSECTING, INSIDE = "outside", "intersecting", "inside"
 BOUNDS = "struct<kind:string,center:struct<x:double,y:double,z:double>,radius:double,half_axes:array<double>,min:struct<x:double,y:double,z:double>,max:struct<x:double,y:double,z:double>>"
@@ -335,23 +335,21 @@ def frustum_from_matrix(m: Column) -> list[Plane]:
 
 def visibility(volume, planes: list[Plane]) -> Column:
     """Of a volume against a frustum: outside any plane is outside, inside all is inside."""
-    tests = [volume.plane(p) for p in planes]
-    outside, inside = tests[0] == OUTSIDE, tests[0] == INSIDE
-    for t in tests[1:]:
-        outside, inside = outside | (t == OUTSIDE), inside & (t == INSIDE)
-    return F.when(outside, OUTSIDE).when(inside, INSIDE).otherwise(INTERSECTING)
+    tests = F.array(*(volume.plane(p) for p in planes))
+    return let(tests, lambda t: F.when(F.array_contains(t, OUTSIDE), OUTSIDE).when(F.array_contains(t, INTERSECTING), INTERSECTING).otherwise(INSIDE))
 
 
 def visibility_masked(volume, planes: list[Plane], mask: Column) -> Column:
     """struct<result, mask>: only planes of set bits are tested; the new mask holds those still crossed, 0 when inside."""
-    out, crossed = F.lit(False), F.lit(0)
-    for k, p in enumerate(planes):
-        tested = mask.bitwiseAND(F.lit(1 << k)) != 0
-        t = volume.plane(p)
-        out = out | (tested & (t == OUTSIDE))
-        crossed = crossed + F.when(tested & (t == INTERSECTING), 1 << k).otherwise(0)
-    result = F.when(out, OUTSIDE).when(crossed == 0, INSIDE).otherwise(INTERSECTING)
-    return F.struct(result.alias("result"), F.when(out, 0).otherwise(crossed).alias("mask"))
+    tests = F.array(*(F.when(mask.bitwiseAND(F.lit(1 << k)) != 0, volume.plane(p)).otherwise(INSIDE) for k, p in enumerate(planes)))
+
+    def judged(t: Column) -> Column:
+        out = F.array_contains(t, OUTSIDE)
+        crossed = sum((F.when(F.get(t, k) == INTERSECTING, 1 << k).otherwise(0) for k in range(1, len(planes))), F.when(F.get(t, 0) == INTERSECTING, 1).otherwise(0))
+        result = F.when(out, OUTSIDE).when(crossed == 0, INSIDE).otherwise(INTERSECTING)
+        return F.struct(result.alias("result"), F.when(out, 0).otherwise(crossed).alias("mask"))
+
+    return let(tests, judged)
 
 
 def projected_area(volume, eye: Vec, viewport_height: Column, fov_y: Column) -> Column:
