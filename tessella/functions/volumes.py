@@ -316,10 +316,13 @@ def barycentric(p: Vec, a: Vec, b: Vec, c: Vec) -> Vec:
 
 def frustum_from_fov(position: Vec, direction: Vec, up: Vec, fov_x: Column, fov_y: Column) -> list[Plane]:
     """Left, right, bottom and top planes through the eye, pointing inwards; no near or far plane."""
-    right = direction.cross(up).unit()
+    side = direction.cross(up)
+    # With right a unit vector, its cross product with a direction of length one is one too: lengths are known.
+    right = side / side.length()
     top = right.cross(direction)
     tx, ty = F.tan(fov_x / 2), F.tan(fov_y / 2)
-    return [Plane.through(position, n) for n in (direction * tx + right, direction * tx - right, direction * ty + top, direction * ty - top)]
+    normals = [(direction * t + n * s) / F.sqrt(1 + t * t) for t, n in ((tx, right), (ty, top)) for s in (1, -1)]
+    return [Plane(n, -n.dot(position)) for n in normals]
 
 
 def frustum_from_matrix(m: Column) -> list[Plane]:

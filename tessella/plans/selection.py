@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.vectors import Vec
-from tessella.functions.volumes import OUTSIDE, Bounds, frustum_from_fov, visibility
+from tessella.functions.volumes import OUTSIDE, Bounds, Plane, frustum_from_fov, visibility
 from tessella.plans.trees import descend, fold_up
 from tessella.storage import Scratch
 
@@ -62,19 +62,26 @@ def foveation(direction: Vec, position: Vec, center: Vec) -> Column:
     return F.when(to.length() > 0, 1 - to.dot(direction) / to.length()).otherwise(0.0)
 
 
+def _framed(views: DataFrame) -> DataFrame:
+    """(frame, views): the views of each frame with the planes of their frusta, computed once for each view."""
+    v = views.select("frame", "view_id", *(F.col(c).cast("double").alias(c) for c in VIEW))
+    planes = frustum_from_fov(Vec.array(F.col("_p")), Vec.array(F.col("_d")), Vec.array(F.col("_u")), F.col("fov_x"), F.col("fov_y"))
+    made = F.array(*(F.struct(p.normal.col().alias("n"), p.d.alias("d")) for p in planes))
+    v = v.withColumns({"_p": F.array("px", "py", "pz"), "_d": F.array("dx", "dy", "dz"), "_u": F.array("ux", "uy", "uz")}).withColumn("planes", made)
+    return v.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("view_id", *VIEW, "planes"))).alias("views"))
+
+
 def _measured(rows: DataFrame, o: Options) -> DataFrame:
     """Visited tiles with their distance, error, and whether a view sees them."""
     bounds = Bounds("bounds")
 
-    def at(v: Column) -> tuple[Vec, Vec, Vec]:
-        return Vec(v["px"], v["py"], v["pz"]), Vec(v["dx"], v["dy"], v["dz"]), Vec(v["ux"], v["uy"], v["uz"])
-
     def one(v: Column) -> Column:
-        eye, ahead, up = at(v)
+        eye, ahead = Vec(v["px"], v["py"], v["pz"]), Vec(v["dx"], v["dy"], v["dz"])
         d = F.sqrt(bounds.distance_squared(eye))
         seen = F.lit(True)
         if o.frustum:
-            seen = (d == 0) | (visibility(bounds, frustum_from_fov(eye, ahead, up, v["fov_x"], v["fov_y"])) != OUTSIDE)
+            planes = [Plane(Vec.of(v["planes"][k]["n"]), v["planes"][k]["d"]) for k in range(4)]
+            seen = (d == 0) | (visibility(bounds, planes) != OUTSIDE)
         clear = F.lit(True)
         if o.fog_density:
             clear = 1 - F.exp(-(d * o.fog_density) * (d * o.fog_density)) <= 0.9999
@@ -113,7 +120,7 @@ def visit(tiles: DataFrame, views: DataFrame, last: DataFrame | None = None, opt
     """
     o = options or Options()
     scratch = Scratch(tiles.sparkSession, "visit")
-    frames = views.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("view_id", *(F.col(c).cast("double").alias(c) for c in VIEW)))).alias("views"))
+    frames = scratch.table(_framed(views), "frames")
     if last is None:
         past = lambda rows: rows.withColumns({"was_refined": F.lit(False), "was_selected": F.lit(False)})
     else:
