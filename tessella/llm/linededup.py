@@ -129,10 +129,16 @@ def _key(line: str) -> bytes:
     return md5(line.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: what is made of a text takes several times its size."""
+    for batch in batches:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def _occurrences(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = _Signer(width, bands, rows)
-        for batch in batches:
+        for batch in _slices(batches):
             found, held, seen = [], [], {}
             for row, pos, line in _split(batch):
                 key = _key(line)
