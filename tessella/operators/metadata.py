@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ def decode_buffer(buffers: DataFrame, component: str, width: int = 1) -> DataFra
                 for at in range(0, len(raw) // size, 1 << 16):
                     part = np.frombuffer(raw[at * size : (at + (1 << 16)) * size], kind)
                     rows = len(part) // width
-                    values = pa.array([int(v) for v in part], pa.int64() if not wide else None).cast(arrow) if wide else pa.array(part.astype(arrow.to_pandas_dtype()), arrow)
+                    values = pa.array([Decimal(int(v)) for v in part], arrow) if wide else pa.array(part.astype(arrow.to_pandas_dtype()), arrow)
                     if width > 1:
                         values = pa.ListArray.from_arrays(pa.array(range(0, len(part) + 1, width), pa.int32()), values)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * rows, pa.string()), pa.array(range(at, at + rows), pa.int32()), values], ["name", "feature_index", "value"])
