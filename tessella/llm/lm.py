@@ -36,7 +36,7 @@ from tessella.llm.scratch import Scratch
 #: Kinds of training texts; the rarest share the last.
 KINDS = 16
 #: Tokens of a block, unless one document has more.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 750_000
 _MARK = "▁"
 _WORDS_AT_ONCE = 8192
 _FEW = 24
