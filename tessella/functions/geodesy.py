@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.vectors import Vec, clamp, matrix, num
+from tessella.functions.vectors import Vec, clamp, let, matrix, num
 from tessella.functions.volumes import Aabb, Plane, Rectangle, Sphere
 
 PI = math.pi
@@ -318,20 +318,28 @@ class Region:
     def distance_squared(self, lon: Column, lat: Column, h: Column, ellipsoid: Ellipsoid = WGS84) -> Column:
         """To a position, by the planes through the four edges and the two heights; 0 inside."""
         r = self.rect
-        p = ellipsoid.to_ecef(lon, lat, h)
-        mid = ellipsoid.to_ecef(*r.center())
-        up = ellipsoid.normal(*r.center())
-
-        def beyond(corner: Vec, along: Vec) -> Column:
-            """Distance outside the plane of an edge, whose outward normal points away from the middle."""
-            n = along.cross(up).unit()
-            n = n * F.when(n.dot(corner - mid) < 0, -1.0).otherwise(1.0)
-            return F.greatest(n.dot(p - corner), F.lit(0.0))
-
-        sw, se, nw, ne = (ellipsoid.to_ecef(x, y) for y in (r.south, r.north) for x in (r.west, r.east))
-        side = F.when(r.contains(lon, lat), F.lit(0.0)).otherwise(
-            F.pow(F.greatest(beyond(sw, nw - sw), beyond(se, ne - se)), 2) + F.pow(F.greatest(beyond(sw, se - sw), beyond(nw, ne - nw)), 2)
-        )
+        names = ("p", "mid", "up", "sw", "se", "nw", "ne")
+        corners = [ellipsoid.to_ecef(x, y) for y in (r.south, r.north) for x in (r.west, r.east)]
+        points = [ellipsoid.to_ecef(lon, lat, h), ellipsoid.to_ecef(*r.center()), ellipsoid.normal(*r.center()), *corners]
+
+        def sideways(s: Column) -> Column:
+            v = {n: Vec.of(s[n]) for n in names}
+
+            def beyond(corner: str, along: str) -> Column:
+                """Distance outside the plane of an edge, whose outward normal points away from the middle."""
+                at = v[corner]
+
+                def measured(n: Column) -> Column:
+                    n = Vec.of(n)
+                    return F.greatest(n.dot(v["p"] - at) * F.when(n.dot(at - v["mid"]) < 0, -1.0).otherwise(1.0) / n.length(), F.lit(0.0))
+
+                return let((v[along] - at).cross(v["up"]).col(), measured)
+
+            west_east = F.greatest(beyond("sw", "nw"), beyond("se", "ne"))
+            south_north = F.greatest(beyond("sw", "se"), beyond("nw", "ne"))
+            return F.pow(west_east, 2) + F.pow(south_north, 2)
+
+        side = F.when(r.contains(lon, lat), F.lit(0.0)).otherwise(let(F.struct(*(p.col().alias(n) for n, p in zip(names, points))), sideways))
         vertical = F.greatest(self.low - h, h - self.high, F.lit(0.0))
         return side + vertical * vertical
 

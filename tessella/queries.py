@@ -245,7 +245,7 @@ def globe_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 WITH p AS (SELECT c_nationkey AS nation, (c_custkey * 7919 % 6000) / 100.0 + 150.0 AS a, (c_custkey * 104729 % 17000) / 100.0 - 85.0 AS lat FROM customer)
-SELECT nation, round(min(a), 6) AS west, round(max(a), 6) AS reach, round(min(lat), 6) AS south, round(max(lat), 6) AS north FROM p GROUP BY nation
+SELECT nation, round(min(a) - CASE WHEN min(a) > 180 THEN 360 ELSE 0 END, 6) AS west, round(max(a) - CASE WHEN min(a) > 180 THEN 360 ELSE 0 END, 6) AS reach, round(min(lat), 6) AS south, round(max(lat), 6) AS north FROM p GROUP BY nation
 """)
 def extents_over_the_antimeridian(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rectangle of each nation's positions between 150 east and 150 west, free of order."""

@@ -237,3 +237,13 @@ def test_uri_parts(one):
     assert one(uris.extension(u), uris.host(u), uris.path(u), uris.query(u), uris.file_name(u)) == ("gz", "h.x", "/a/b.tar.GZ", "q=1", "b.tar.GZ")
     assert one(uris.with_parameter(F.lit("http://h/p?a=1&b=2"), "a", F.lit("x y"))) == "http://h/p?b=2&a=x+y"
     assert one(uris.expand(F.lit("{z}/{x}/{w}"), {"z": F.lit(3), "x": F.lit(5)})) == "3/5/{w}"
+
+
+def test_region_distance(one):
+    region = geodesy.Region(GlobeRectangle.degrees(10, 20, 11, 21), num(0), num(1000))
+    at = lambda lon, lat, h: one(F.sqrt(region.distance_squared(F.radians(num(lon)), F.radians(num(lat)), num(h))))
+    assert at(10.5, 20.5, 500) == 0 and at(10.5, 20.5, 1500) == pytest.approx(500)
+    # A degree of latitude beyond the north edge is about 110.7 km.
+    assert at(10.5, 22, 500) == pytest.approx(110_700, rel=0.01)
+    assert at(12, 20.5, 500) == pytest.approx(104_300, rel=0.02)
+    assert at(9, 20.5, 500) == pytest.approx(104_300, rel=0.02)
