@@ -169,8 +169,11 @@ def select_tiles(tiles: DataFrame, views: DataFrame, last: DataFrame | None = No
     gather = {"all_ready": F.bool_and, "any_before": F.bool_or, "missing": F.sum, "kicks": F.bool_or}
     # At the deepest level there are no gathered columns to look at.
     rows = rows.withColumns({"_g_all_ready": F.lit(None).cast("boolean"), "_g_any_before": F.lit(None).cast("boolean")})
-    folded = _fold(rows, own, gather, settle, scratch)
-    kicked = _under_kicks(folded, o, scratch)
+    if rows.where(shown & ~F.col("ready")).isEmpty():
+        # Nothing shown is missing: no tile has to stand in for its descendants.
+        kicked = rows.withColumns({"kicks": F.lit(False), "under_kick": F.lit(False), "dropped": F.lit(False)})
+    else:
+        kicked = _under_kicks(_fold(rows, own, gather, settle, scratch), o, scratch)
     selected = (F.col("selected") | F.col("kicks")) & ~F.col("under_kick")
     group = F.when(F.col("wanted") & ~F.col("dropped"), F.when(F.col("refines") & (F.col("was_refined") | F.lit(o.prevent_holes)), URGENT).otherwise(NORMAL))
     return kicked.select("frame", "tile_id", "parent_id", "level", "distance", "sse", "off_axis", "culled", F.col("refines").alias("refined"), selected.alias("selected"), group.alias("load_group"))
