@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import linededup, packing, quality, simhash, toxicity
+from tessella.llm import linededup, nearcopies, packing, quality, simhash, toxicity
 from tessella.llm.scratch import Scratch
 
 
@@ -36,12 +36,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """After ``near_duplicates``, one document stays of those that share four fifths of their five-word shingles."""
+    first = Scratch(spark, "fingerprinted").table(near_duplicates(spark, docs, sf_dir), "first")
+    return nearcopies.keep_one(first, width=5, similarity=0.8)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Buckets and batches of what is left, a token being a word."""
     return packing.pack(docs, packing.word_count(F.col("text")))
 
 
-STAGES = [("quality rules", quality_rules), ("toxicity", civil), ("line dedup", first_lines), ("near dedup", near_duplicates), ("packing", pack)]
+STAGES = [("quality rules", quality_rules), ("toxicity", civil), ("line dedup", first_lines), ("near dedup", near_dedup), ("packing", pack)]
 
 #: No SQL form: the toxicity model, MinHash bands and SimHash votes. tests/llm holds a brute-force version.
 ORACLE_SQL = None

@@ -168,7 +168,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.binary()), pa.array(list(lines.values()), pa.string())], ["key", "line"])
 
 
-def _verify(width: int, similarity: float):
+def _verify(width: int, similarity: float, hashes=shingle_hashes):
     """Edges that join the lines of a group that are linked, directly or by others; ``known`` names what is joined already.
 
     A line is compared with a class, nearest size first, until one member is near enough: the rest of
@@ -202,7 +202,7 @@ def _verify(width: int, similarity: float):
         by_group: dict[int, list] = {}
         for group, key, line, side, known in zip(*(table.column(c).to_pylist() for c in ("group", "key", "line", "side", "known"))):
             if key not in sets:
-                sets[key] = shingle_hashes(line, width)
+                sets[key] = hashes(line, width)
             by_group.setdefault(group, []).append((key, sets[key], side, known))
         edges = [e for lines in by_group.values() for e in joined(lines)]
         return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
@@ -210,11 +210,11 @@ def _verify(width: int, similarity: float):
     return run
 
 
-def _verified(rows: DataFrame, width: int, similarity: float, total: int) -> DataFrame:
+def _verified(rows: DataFrame, width: int, similarity: float, total: int, hashes=shingle_hashes, call: int = CALL) -> DataFrame:
     """Edges of all groups; many small groups share a call, those that share lines preferably (column ``near``)."""
-    calls = -(-total // CALL)
+    calls = -(-total // call)
     rows = rows.select("group", "key", "line", "side", "known", F.pmod(F.col("near"), F.lit(max(1, calls))).alias("call"))
-    return rows.groupBy("call").applyInArrow(_verify(width, similarity), "a binary, b binary")
+    return rows.groupBy("call").applyInArrow(_verify(width, similarity, hashes), "a binary, b binary")
 
 
 def _small(table: DataFrame, rows: int | None = None, most: int | None = None) -> DataFrame:
@@ -222,8 +222,11 @@ def _small(table: DataFrame, rows: int | None = None, most: int | None = None) -
     return F.broadcast(table) if (table.count() if rows is None else rows) <= (BROADCAST_ROWS if most is None else most) else table
 
 
-def line_links(docs: DataFrame, occurrences: DataFrame, named: DataFrame, scratch: Scratch, width: int, similarity: float, block: int) -> DataFrame:
-    """(node, component) of all lines that resemble another; ``named`` has a place of each line, to read it from."""
+def line_links(docs: DataFrame, occurrences: DataFrame, named: DataFrame, scratch: Scratch, width: int, similarity: float, block: int, read=_texts, lines_as: str = "key binary, line string", hashes=shingle_hashes, call: int = CALL) -> DataFrame:
+    """(node, component) of all lines that resemble another; ``named`` has a place of each line, to read it from.
+
+    ``read`` takes the lines (``lines_as``) from texts, ``hashes`` their shingles: ``nearcopies`` links whole texts.
+    """
     bands = occurrences.where("sig is not null").select(F.explode("sig").alias("bucket"), "key")
     mark = F.xxhash64("key")
     live = bands.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("bucket")
@@ -238,12 +241,12 @@ def line_links(docs: DataFrame, occurrences: DataFrame, named: DataFrame, scratc
     wanted = scratch.table(members.select("key").distinct(), "wanted")
     places = named.join(_small(wanted), "key", "left_semi").groupBy("first.doc_id").agg(F.collect_list("first.pos").alias("wanted"))
     texts = docs.join(_small(scratch.table(places, "places")), "doc_id").select("text", "wanted")
-    lines = texts.mapInArrow(_texts, "key binary, line string").groupBy("key").agg(F.first("line").alias("line"))
+    lines = texts.mapInArrow(read, lines_as).groupBy("key").agg(F.first("line").alias("line"))
     lines = scratch.table(lines, "lines")
     part = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
     members = members.withColumn("part", part)
     whole = members.join(lines, "key").select("key", "line", F.xxhash64("bucket", "part").alias("group"), F.xxhash64("low", "part").alias("near"), F.lit(-1).alias("side"), F.col("key").alias("known"))
-    edges = scratch.table(_verified(whole, width, similarity, members.count()), "edges")
+    edges = scratch.table(_verified(whole, width, similarity, members.count(), hashes, call), "edges")
     large = members.where("blocks > 1")
     if not large.isEmpty():
         classes = scratch.table(connected_components(edges, scratch, "first"), "early")
@@ -252,7 +255,7 @@ def line_links(docs: DataFrame, occurrences: DataFrame, named: DataFrame, scratc
         # Each pair of blocks is a task of its own: (i, part) for i < part, and (part, j) for j > part.
         pairs = marked.join(open_, "bucket").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other <> part")
         pairs = scratch.table(pairs.select("key", "known", F.col("part").alias("side"), F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("group")), "pairs")
-        more = _verified(pairs.join(lines, "key").withColumn("near", F.col("group")), width, similarity, pairs.count())
+        more = _verified(pairs.join(lines, "key").withColumn("near", F.col("group")), width, similarity, pairs.count(), hashes, call)
         edges = edges.unionByName(scratch.table(more, "more"))
     return connected_components(edges, scratch, "last")
 
