@@ -15,8 +15,11 @@ from tessella.llm.scratch import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that fail the base rules or are depleted; the rest lose lines that are common on their source."""
-    return quality.keep_good(docs)
+    """Rejects documents that fail the base rules or are depleted; the rest lose lines that are common on their source.
+
+    Common: in more than ten texts of the source, or on a small source in more than a tenth of them, three at least.
+    """
+    return quality.keep_good(docs, min_docs=3, share=0.1, most_docs=10)
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

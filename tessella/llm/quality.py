@@ -2,12 +2,13 @@
 
 Lines are normalised (A-Z lower-cased, white space runs to one space, ends trimmed) and hashed. A line
 is common on a host when more than ``max(min_docs, share * distinct texts of the host)`` distinct
-texts of that host hold it; copies of a text count once, so a copied text does not condemn its own
-lines. Common lines are removed; a document that keeps less than ``keep`` of its words is depleted.
+texts of that host hold it, or more than ``most_docs`` if that is less and given; copies of a text
+count once, so a copied text does not condemn its own lines. Common lines are removed; a document that
+keeps less than ``keep`` of its words is depleted.
 
 All of it is DataFrame expressions. Counts are gathered by (host, line), so that a host with a third
-of the rows is spread over all tasks. Common lines are few by construction: lines in a tenth of a
-host's texts number at most ten times the mean count of lines in a text.
+of the rows is spread over all tasks. Common lines are (host, line) rows; joined with the lines of
+the distinct texts they become a short array for each text that holds any, whatever the limit.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from tessella.llm.scratch import Scratch
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = "[ \\t-\\r]+"
 SYMBOLS = "#*$%&|<>"
+#: Rows of a join's smaller side that are broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,19 +73,39 @@ def repeated_windows(df: DataFrame, width: int = 3) -> DataFrame:
     return hashed.withColumn("n_repeat_words", F.when(F.size("_p") > 0, covered).otherwise(0).cast("long")).drop("_w", "_h", "_s", "_p")
 
 
-def common_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = 20, share: float = 0.1) -> DataFrame:
-    """(host, common): the hashes of the common lines of each host that has any."""
-    texts = docs.select(F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def texts_once(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(host, key, held): the distinct texts of each host, with the hashes of their distinct lines."""
+    texts = docs.select(F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     held = texts.select("host", F.xxhash64("text").alias("key"), F.array_distinct(F.transform(lines(F.col("text")), lambda x: line_key(x))).alias("held"))
-    once = held.groupBy("host", "key").agg(F.first("held").alias("held"))
+    return held.groupBy("host", "key").agg(F.first("held").alias("held"))
+
+
+def common_lines(once: DataFrame, min_docs: int = 20, share: float = 0.1, most_docs: int | None = None) -> DataFrame:
+    """(host, line): the hash of each common line of each host; ``once`` is of ``texts_once``."""
+    limit = F.greatest(F.lit(float(min_docs)), F.col("n_texts") * share)
+    limit = limit if most_docs is None else F.least(F.lit(float(most_docs)), limit)
     hosts = once.groupBy("host").agg(F.count("*").alias("n_texts"))
-    found = once.select("host", F.explode("held").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    over = found.alias("f").join(hosts.alias("h"), F.expr("f.host <=> h.host")).where(F.col("n") > F.col("n_texts") * share)
-    return over.groupBy("f.host").agg(F.collect_list("line").alias("common")).select("host", "common")
+    least = min_docs if most_docs is None else min(min_docs, most_docs)
+    found = once.select("host", F.explode("held").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    return found.alias("f").join(_small(hosts).alias("h"), F.expr("f.host <=> h.host")).where(F.col("n") > limit).select("f.host", "line")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def common_in_texts(docs: DataFrame, text_col: str, host_col: str, min_docs: int, share: float, most_docs: int | None, scratch: Scratch) -> DataFrame:
+    """(host, key, common): the common lines that each distinct text holds, for texts that hold any."""
+    once = scratch.table(texts_once(docs, text_col, host_col), "once")
+    common = scratch.table(common_lines(once, min_docs, share, most_docs), "common")
+    met = once.select("host", "key", F.explode("held").alias("line")).alias("t").join(_small(common).alias("c"), F.expr("t.host <=> c.host and t.line = c.line"))
+    found = scratch.table(met.groupBy("t.host", "t.key").agg(F.collect_list("t.line").alias("common")), "found")
+    scratch.drop("once", "common")
+    return found
 
 
 def assess(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, share: float = 0.1, keep: float = 0.5, min_words: int = 50, repeat_percent: int = 50, with_text: bool = False, carry: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, share: float = 0.1, keep: float = 0.5, min_words: int = 50, repeat_percent: int = 50, with_text: bool = False, carry: bool = False, most_docs: int | None = None
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, counts, base_failed, n_left (words outside common lines), kept.
 
@@ -93,21 +116,21 @@ def assess(
     table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    common = scratch.table(common_lines(docs, text_col, host_col, min_docs, share), "common")
+    common = common_in_texts(docs, text_col, host_col, min_docs, share, most_docs, scratch)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("text"), *row)
     rows = rows.select("*", words(F.col("text")).alias("words"), lines(F.col("text")).alias("lines"))
     rows = repeated_windows(rows)
     rows = rows.select(
-        "doc_id", "host", *(["text"] if with_text else []), *(["row"] if carry else []), "n_repeat_words",
+        "doc_id", "host", F.xxhash64("text").alias("key"), *(["text"] if with_text else []), *(["row"] if carry else []), "n_repeat_words",
         F.size("words").cast("long").alias("n_words"),
         F.length(_bare(F.col("text"))).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("lines", lambda x: F.struct(line_key(x).alias("key"), _line_words(x).alias("n"))).alias("held"),
     )
-    met = rows.alias("r").join(common.alias("c"), F.expr("r.host <=> c.host"), "left").drop(F.col("c.host"))
+    met = rows.alias("r").join(_small(common).alias("c"), F.expr("r.host <=> c.host and r.key = c.key"), "left").drop(F.col("c.host"), F.col("c.key"))
     left = F.when(F.col("common").isNull(), F.col("n_words")).otherwise(
         F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + F.when(F.array_contains("common", x["key"]), 0).otherwise(x["n"]))
     )

@@ -75,3 +75,19 @@ def test_stage_keeps_columns(clashing, none, docs):
 
 def test_query(spark, data):
     assert QUERIES["op10_quality"](spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
+def test_limit_does_not_grow_with_the_host(spark, monkeypatch):
+    """A line in 15 of 400 texts, another in five of a host's 20, one in three of them."""
+    import corpus_pipeline as P
+
+    prose = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(k, ("Shared here\n" if k < 15 else "") + prose(k), "en", "large", 1) for k in range(400)]
+    rows += [(400 + k, ("Shared there\n" if k < 5 else "A line of three\n" if k < 8 else "") + prose(400 + k), "en", "small", 1) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    for bound in (Q.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(Q, "BROADCAST_ROWS", bound)
+        got = {r.doc_id: r.text for r in P.quality_rules(spark, df, "").collect()}
+        assert len(got) == 420 and not any("Shared" in t for t in got.values())
+        assert sum("A line of three" in t for t in got.values()) == 3
+    assert all(r.n_left == r.n_words for r in Q.assess(df).collect())
