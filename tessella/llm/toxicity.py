@@ -31,8 +31,12 @@ LEET = {
 }
 _GAPS = " ._-*~'`,/\\"
 _STRIP = ".,;:!?\"'()[]{}<>|#*$%&-_=+~`«»¿¡…"
-_SUSPECT = re.compile(r"[^\W\d_][\d@$!|+(€£¡#%*._\-~]+[^\W\d_]|^[\d@$!+(€£¡]+[^\W\d_]|[^\W\d_][\d@$!€£]+$|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SIGNS = re.escape("".join(LEET))
+#: What the lattice can read: signs that stand for letters beside a letter, signs or gaps between letters, a letter thrice.
+_SUSPECT = re.compile(rf"[{_SIGNS}][^\W\d_]|[^\W\d_][{_SIGNS}]|[^\W\d_][{_SIGNS}{re.escape(_GAPS)}]+[^\W\d_]|([^\W\d_])\1\1")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+#: Marks at a token's ends that stand for no letter.
+_MARKS = "".join(c for c in _STRIP if c not in LEET)
 #: Character classes of the trigram model: 0 is a word's edge, 1 to 26 are a to z, the rest other letters by code.
 CLASSES = 64
 #: Tokens whose features a worker remembers.
@@ -147,14 +151,14 @@ class _Reader:
         words = set() if " " in token else {token.strip(_STRIP)}
         if " " in token or _SUSPECT.search(token):
             # Signs at the ends may be letters or mere punctuation: both readings count.
-            words |= {w.strip(_STRIP) for form in {token.strip(".,;:?\"'()[]{}<>«»¿…"), token.strip(_STRIP)} for w in restore(form, self.chars).split()}
+            words |= {w.strip(_STRIP) for form in {token.strip(_MARKS), token.strip(_MARKS + "("), token.strip(_STRIP)} for w in restore(form, self.chars).split()}
         found = {f for w in words for f in _parts(w)}
         return tuple(found if self.base is None else found & self.base)
 
     def __call__(self, text: str | None) -> set[str]:
         low = (text or "").lower()
         tokens = set(low.split())
-        tokens.update(x.replace("\t", " ") for x in _SPACED.findall(low))
+        tokens.update(" ".join(x.split()) for x in _SPACED.findall(low))
         found: dict[str, int] = {}
         for token in tokens:
             known = self.memory.get(token)

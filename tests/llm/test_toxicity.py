@@ -91,3 +91,20 @@ def test_fit_separates_on_features():
 def test_query(spark, data):
     rows = QUERIES["op5_toxicity"](spark, data).collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+@pytest.mark.parametrize("form", ["s,c,o,u,n,d,r,e,l", "r/o/t/t/e/r", "r\\o\\t\\t\\e\\r", "b'l'o'c'k'h'e'a'd", "r`o`t`t`e`r", "(oundrel", "#eadblock", "|diot", "idio+", "s  c  o  u  n  d  r  e  l", "r\no\nt\nt\ne\nr", "r \t o t\n\nt e r"])
+def test_gate_lets_through_what_the_lattice_reads(model, form):
+    word = {"(oundrel": "coundrel", "#eadblock": "headblock", "|diot": "idiot", "idio+": "idiot"}.get(form) or "".join(c for c in form if c.isalpha())
+    chars = model.chars + 0
+    # Sequences of this word are made likely, so that the reading depends on the gate alone.
+    for a, b, c in zip(" " + word, word, word[1:] + " "):
+        chars[T._class(a), T._class(b), T._class(c)] = -0.1
+    chars[0, 0, T._class(word[0])] = -0.1
+    assert f"{word}$" in T._Reader(chars)(f"and {form} ing")
+
+
+@pytest.mark.parametrize("sign", list(T.LEET))
+def test_every_sign_is_let_through_at_any_position(sign):
+    for token in (f"{sign}ord", f"wor{sign}", f"w{sign}rd", f"'{sign}ord,"):
+        assert T._SUSPECT.search(token)
