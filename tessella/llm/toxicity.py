@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.scratch import Scratch
+
 #: Labelled rows that the model is fitted on, at most: those of the lowest hash of their id.
 MAX_ROWS = 20_000
-#: Features of the model, at most.
-MAX_FEATURES = 4_000
+#: Toxic rows of the sample that a feature must stand in.
+MIN_ROWS = 5
 #: The letters that a digit or symbol may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "#": "h", "%": "x", "*": "aeiou",
@@ -34,6 +35,7 @@ _STRIP = ".,;:!?\"'()[]{}<>|#*$%&-_=+~`«»¿¡…"
 _SIGNS = re.escape("".join(LEET))
 #: What the lattice can read: signs that stand for letters beside a letter, signs or gaps between letters, a letter thrice.
 _SUSPECT = re.compile(rf"[{_SIGNS}][^\W\d_]|[^\W\d_][{_SIGNS}]|[^\W\d_][{_SIGNS}{re.escape(_GAPS)}]+[^\W\d_]|([^\W\d_])\1\1")
+_THRICE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 #: Marks at a token's ends that stand for no letter.
 _MARKS = "".join(c for c in _STRIP if c not in LEET)
@@ -41,6 +43,7 @@ _MARKS = "".join(c for c in _STRIP if c not in LEET)
 CLASSES = 64
 #: Tokens whose features a worker remembers.
 _REMEMBER = 200_000
+_CHARS_AT_ONCE = 1 << 20
 
 
 def _class(c: str) -> int:
@@ -54,20 +57,42 @@ def _class_table() -> np.ndarray:
     return np.array([_class(chr(k)) if not 0xD800 <= k < 0xE000 else 0 for k in range(0x3000)], np.int64)
 
 
+def _classes(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    known = table[np.minimum(codes, len(table) - 1)]
+    known[codes >= len(table)] = 0
+    return known
+
+
+def _add_trigrams(texts: list[str], table: np.ndarray, total: np.ndarray) -> None:
+    """Add the trigrams of texts (none empty), each between two edges before and one after it."""
+    codes = np.frombuffer(f"\0\0{'\0\0'.join(texts)}\0".encode("utf-32-le", "surrogatepass"), np.uint32)
+    for at in range(0, len(codes) - 2, _CHARS_AT_ONCE):
+        known = _classes(codes[at : at + _CHARS_AT_ONCE + 2], table)
+        total += np.bincount((known[:-2] * CLASSES + known[1:-1]) * CLASSES + known[2:], minlength=CLASSES**3)
+    # Between two texts stand two edges, and so a trigram that neither has: the last character and both.
+    ends = _classes(np.array([ord(t[-1]) for t in texts[:-1]], np.uint32), table)
+    np.subtract.at(total, ends * CLASSES**2, 1)
+
+
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Counts of character-class trigrams over all texts, each partition summed before the shuffle; at most 64^3 rows reach the driver."""
+    """Counts of character-class trigrams over all texts, each partition summed before the shuffle; at most 64^3 rows reach the driver.
+
+    Null and empty texts have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = _class_table(), np.zeros(CLASSES**3, np.int64)
+        held, size = [], 0
         for batch in batches:
             for text in batch.column(0):
-                codes = np.frombuffer((text.as_py() or "").lower().encode("utf-32-le"), np.uint32)
-                for at in range(0, len(codes), 1 << 18):
-                    part = codes[max(0, at - 2) : at + (1 << 18)]
-                    known = table[np.minimum(part, len(table) - 1)]
-                    known[part >= len(table)] = 0
-                    padded = np.concatenate(([0, 0], known, [0])) if at == 0 else known
-                    total += np.bincount((padded[:-2] * CLASSES + padded[1:-1]) * CLASSES + padded[2:], minlength=CLASSES**3)
+                if low := (text.as_py() or "").lower():
+                    held.append(low)
+                    size += len(low)
+                if size >= _CHARS_AT_ONCE:
+                    _add_trigrams(held, table, total)
+                    held, size = [], 0
+        if held:
+            _add_trigrams(held, table, total)
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["code", "n"])
 
@@ -140,32 +165,50 @@ def _parts(word: str) -> list[str]:
 _TWICE = "++"
 
 
+def _disguised(token: str) -> bool:
+    """Whether the lattice could read a token otherwise than it is written."""
+    return bool(_THRICE.search(token) if token.isalpha() else _SUSPECT.search(token))
+
+
 class _Reader:
     """Features of texts, remembering those of tokens. A beginning that two or more different tokens have is a feature of its own."""
 
     def __init__(self, chars: np.ndarray, wanted: dict[str, float] | None = None):
-        self.chars, self.wanted, self.memory = chars, wanted, {}
-        self.base = None if wanted is None else {f.removesuffix(_TWICE) for f in wanted}
+        self.chars, self.wanted = chars, wanted
+        self.memory: dict[str, tuple[str, ...]] = {}
+        self.nothing: set[str] = set()  # tokens without a wanted feature
+        if wanted is not None:
+            self.base = {f.removesuffix(_TWICE) for f in wanted}
+            self.heads = {f[:3] for f in self.base}
 
     def _read(self, token: str) -> tuple[str, ...]:
-        words = set() if " " in token else {token.strip(_STRIP)}
-        if " " in token or _SUSPECT.search(token):
+        apart = " " in token
+        words = set() if apart else {token.strip(_STRIP)}
+        if apart or _disguised(token):
             # Signs at the ends may be letters or mere punctuation: both readings count.
-            words |= {w.strip(_STRIP) for form in {token.strip(_MARKS), token.strip(_MARKS + "("), token.strip(_STRIP)} for w in restore(form, self.chars).split()}
+            for form in {token.strip(_MARKS), token.strip(_MARKS + "("), token.strip(_STRIP)}:
+                words |= {w.strip(_STRIP) for w in restore(form, self.chars).split()} if apart or _disguised(form) else {form}
+        if self.wanted is not None:
+            words = {w for w in words if w[:3] in self.heads}
         found = {f for w in words for f in _parts(w)}
-        return tuple(found if self.base is None else found & self.base)
+        return tuple(found if self.wanted is None else found & self.base)
 
     def __call__(self, text: str | None) -> set[str]:
         low = (text or "").lower()
         tokens = set(low.split())
         tokens.update(" ".join(x.split()) for x in _SPACED.findall(low))
         found: dict[str, int] = {}
-        for token in tokens:
+        for token in tokens - self.nothing:
             known = self.memory.get(token)
             if known is None:
-                if len(self.memory) >= _REMEMBER:
+                if len(self.memory) + len(self.nothing) >= _REMEMBER:
                     self.memory.clear()
-                known = self.memory[token] = self._read(token)
+                    self.nothing.clear()
+                known = self._read(token)
+                if known:
+                    self.memory[token] = known
+                else:
+                    self.nothing.add(token)
             for f in known:
                 found[f] = found.get(f, 0) + 1
         every = found.keys() | {f + _TWICE for f, n in found.items() if n > 1}
@@ -197,51 +240,47 @@ def _fit(rows: list[tuple[list[int], int]], n: int, rounds: int = 600, ridge: fl
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, min_rows: int = MIN_ROWS) -> Model:
     """Learn from ``labels`` (doc_id, 0/1) of ``docs``; leave out rows that must not be learned from before.
 
-    The character model covers all texts of ``docs``. Of the labels, at most ``max_rows`` are used.
-    Null labels and ids are ignored. No label, or labels of one kind: a model of the base rate.
+    The character model covers all texts of ``docs``. Of the labels, at most ``max_rows`` are used,
+    those of the lowest hash of their id; all else is made from this sample, and bounded by it. Every
+    feature that stands in ``min_rows`` toxic rows and clearly oftener in toxic ones is used. Null
+    labels and ids are ignored; an id with several labels is toxic if one says so. No label, or labels
+    of one kind: a model of the base rate.
     """
+    scratch = Scratch(docs.sparkSession, "toxicity")
     model = Model(_log_model(trigram_counts(docs, text_col)))
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    texts = scratch.table(texts, "texts")
     chars = model.chars
 
-    def count(wanted: dict[str, float] | None):
+    def features(wanted: dict[str, float] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            read, toxic, clean = _Reader(chars, wanted), Counter(), Counter()
+            read = _Reader(chars, wanted)
             for batch in batches:
-                for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-                    (toxic if label else clean).update([*read(text.as_py()), ""])
-            names = list(toxic.keys() | clean.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[k] for k in names], pa.int64()), pa.array([clean[k] for k in names], pa.int64())], ["feature", "toxic", "clean"])
+                for at in range(0, batch.num_rows, 100):  # the features of a text take several times its size
+                    part = batch.slice(at, 100)
+                    yield pa.RecordBatch.from_arrays([pa.array([sorted(read(t.as_py())) for t in part.column(0)], pa.list_(pa.string())), part.column(1)], ["found", "toxic"])
 
         return run
 
-    def counted(rows: DataFrame, wanted: dict[str, float] | None = None) -> DataFrame:
-        return rows.mapInArrow(count(wanted), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    def counted(rows: DataFrame) -> DataFrame:
+        clean = F.lit(1) - F.col("toxic")
+        return rows.select("toxic", F.explode("found").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum(clean).alias("clean"))
 
-    # Both tables come from the sample alone: as many features as max_rows texts hold, at most.
-    seen = [r[0] for r in counted(texts.where("toxic = 1")).where("feature <> '' and toxic >= 5").select("feature").collect()]
-    counts = counted(texts, dict.fromkeys(seen, 0.0))
-    totals = counts.where("feature = ''").first()
-    n_toxic, n_clean = (totals["toxic"], totals["clean"]) if totals else (0, 0)
+    schema = "found array<string>, toxic int"
+    seen = [r[0] for r in counted(texts.where("toxic = 1").mapInArrow(features(None), schema)).where(F.col("toxic") >= min_rows).select("feature").collect()]
+    found = scratch.table(texts.mapInArrow(features(dict.fromkeys(seen, 0.0)), schema), "found")
+    n_toxic, n_clean = (x or 0 for x in found.agg(F.sum("toxic"), F.sum(F.lit(1) - F.col("toxic"))).first())
     lift = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    chosen = counts.where("feature <> ''").select("feature", (lift * F.sqrt("toxic")).alias("rank"), lift.alias("lift")).where("lift > 1.5").orderBy(F.desc("rank"), "feature").limit(max_features)
-    names = [r["feature"] for r in chosen.collect()]
+    names = sorted(r["feature"] for r in counted(found).where(lift > 1.5).collect())
     index = {f: k for k, f in enumerate(names)}
-    wanted = dict.fromkeys(names, 0.0)
-
-    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = _Reader(chars, wanted)
-        for batch in batches:
-            found = [sorted(index[f] for f in read(t.as_py())) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["active", "toxic"])
-
-    learned = [(list(a), t) for a, t in texts.mapInArrow(active, "active array<int>, toxic int").collect()]
+    learned = [([index[f] for f in a if f in index], t) for a, t in found.collect()]
     learned.sort()
+    scratch.drop("texts", "found")
     weights, model.bias = _fit(learned, len(names))
     model.weights = {f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-4}
     return model
@@ -273,7 +312,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def score_column(model: Model, text: Column) -> Column:
-    """The score of a text column, for use in any expression."""
+    """The score of a text column, for use in any expression; null and empty texts score the base rate."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -285,5 +324,8 @@ def score_column(model: Model, text: Column) -> Column:
 
 
 def keep_civil(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``, unchanged."""
+    """The rows of ``docs`` that score below ``limit``, unchanged: all columns, whatever their names, repeats and null ids.
+
+    Null and empty texts score the base rate. An empty table gives an empty table.
+    """
     return docs.where(score_column(model, F.col(f"`{text_col}`")) < limit)
