@@ -33,12 +33,16 @@ def with_sketch(df: DataFrame, text: str, name: str, k: int = K, width: int = WI
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
-    """The sketch of two parts together."""
+    """The sketch of two parts together; null if either is null."""
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
 def merge_groups(df: DataFrame, key: str, sketch: str = "sketch", k: int = K, fan: int = 64) -> DataFrame:
-    """(key, sketch): one sketch for each key, merged in rounds of at most about ``fan`` sketches a task row, however many a key has."""
+    """(key, sketch): one sketch for each key, merged in rounds of at most about ``fan`` sketches a task row, however many a key has.
+
+    Null keys are a key of their own; null sketches add nothing; repeated sketches count once. Other
+    columns are not read. An empty table gives an empty table.
+    """
     now = df.select(key, F.col(sketch).alias("sketch"))
     while True:
         sizes = now.groupBy(key).agg(F.count("*").alias("n"))
@@ -103,29 +107,35 @@ def followers(ids: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = WIDTH) -> DataFrame:
-    """Every text beside its edited form: doc_id, n_chars, edited_text, sketch, edited_sketch, next_sketch.
+    """Every text beside its edited form: doc_id, n_chars, edited_text, sketch, edited_sketch, next_sketch; a row for each row of ``docs``.
 
     In the edited text the last floor(n_chars / 2) code points are replaced by the first as many, or
     all, of the next document by descending id; the first document follows the last. Null texts
-    count as empty. Rows with a null id come last. Rows equal in id and text count as one, and are
-    one row of the result; rows of one id and different texts follow each other by a hash of the text.
-    An empty table gives an empty table.
+    count as empty. Rows with a null id come last. Rows equal in id and text are one document, whose
+    result stands once for each of them; rows of one id and different texts follow each other by a
+    hash of the text. Other columns are not read. An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "sketch")
-    low = F.lit(-(2**63)).cast("long")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), low).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    ids = scratch.table(rows.select("id", "mark", F.length("text").alias("n")), "ids")
-    single = ids.distinct()
-    order = scratch.table(followers(single, scratch), "order")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    single = rows.select("id", "mark", F.length("text").alias("n")).groupBy("id", "mark", "n").agg(F.count("*").alias("copies"))
+    single = scratch.table(single, "ids")
+    order = scratch.table(followers(single.select("id", "mark", "n"), scratch), "order")
     scratch.drop("ranged")
     # Each row with the one it follows: a row hands the head of its text to that one.
-    before = order.select(F.col("next_id").alias("id"), F.col("next_mark").alias("mark"), F.col("id").alias("to_id"), F.col("mark").alias("to_mark"), F.floor(F.col("n") / 2).alias("take"))
-    held = rows.join(before, ["id", "mark"])
-    if ids.count() > order.count():  # rows equal in id and text
+    before = order.select(F.col("next_id").alias("own_id"), F.col("next_mark").alias("own_mark"), F.col("id").alias("to_id"), F.col("mark").alias("to_mark"), F.floor(F.col("n") / 2).alias("take"))
+    held = rows.join(before, F.expr("id <=> own_id and mark = own_mark")).drop("own_id", "own_mark")
+    again = scratch.table(single.where("copies > 1").select(F.col("id").alias("again_id"), F.col("mark").alias("again_mark"), "copies"), "again")
+    repeated = not again.isEmpty()
+    if repeated:
         held = held.groupBy("id", "mark").agg(*(F.first(c).alias(c) for c in ("text", "to_id", "to_mark", "take")))
-    heads = with_sketch(held, "text", "next_sketch", k, width).select(F.col("to_id").alias("id"), F.col("to_mark").alias("mark"), F.expr("substring(text, 1, cast(take as int))").alias("head"), "next_sketch")
-    met = held.select("id", "mark", "text").join(heads, ["id", "mark"])
+    # A sketch is made where the text is: carried with the text through the next join, it would add half its size to that shuffle.
+    heads = with_sketch(held, "text", "next_sketch", k, width).select("to_id", "to_mark", F.expr("substring(text, 1, cast(take as int))").alias("head"), "next_sketch")
+    met = held.select("id", "mark", "text").join(heads, F.expr("id <=> to_id and mark = to_mark")).drop("to_id", "to_mark")
     met = met.withColumn("n_chars", F.length("text").cast("long"))
     met = met.withColumn("edited_text", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 2) as int)), head)"))
     met = with_sketch(with_sketch(met, "text", "sketch", k, width), "edited_text", "edited_sketch", k, width)
-    return met.select(F.when(F.col("id") != low, F.col("id")).alias("doc_id"), "n_chars", "edited_text", "sketch", "edited_sketch", "next_sketch")
+    out = ["n_chars", "edited_text", "sketch", "edited_sketch", "next_sketch"]
+    if repeated:
+        copies = F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)).cast("int")))
+        met = met.join(again, F.expr("id <=> again_id and mark = again_mark"), "left").select("id", *out, copies.alias("copy"))
+    return met.select(F.col("id").alias("doc_id"), *out)

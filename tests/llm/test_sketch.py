@@ -32,6 +32,7 @@ def test_edited_against_plain_python(docs, corpus):
     single = [r for r in texts if r[0] is not None]
     got = {r.doc_id: r for r in S.edited(docs, k=k).where("doc_id is not null").collect()}
     assert len(got) == len(single)
+    assert S.edited(docs, k=k).count() == len(corpus)
     for at, (i, t) in enumerate(single[:-1]):  # the last is followed by the rows without an id
         nxt, half = single[at + 1][1], len(t) // 2
         e, r = t[: len(t) - half] + nxt[:half], got[i]
@@ -79,3 +80,14 @@ def test_empty_and_clashing(none, clashing, docs, corpus):
     assert S.edited(clashing).count() == S.edited(docs).count()
     text = S.edited(docs).select(F.sha2("edited_text", 256).alias("h")).collect()
     assert all(len(r.h) == len(hashlib.sha256().hexdigest()) for r in text)
+
+
+def test_every_row_has_a_result(spark):
+    low = -(2**63)
+    rows = [(3, "a b c"), (3, "a b c"), (3, "otherwise"), (None, "n"), (None, "n"), (None, None), (low, "least"), (7, "x y")]
+    got = S.edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars) for r in got) == sorted((i is not None, i or 0, len(t or "")) for i, t in rows)
+    equal = [r for r in got if r.doc_id == 3 and r.n_chars == 5]
+    assert len(equal) == 2 and equal[0] == equal[1]
+    same = S.edited(spark.createDataFrame([(1, "abcd")] * 3, "doc_id long, text string")).collect()
+    assert [r.edited_text for r in same] == ["abab"] * 3
