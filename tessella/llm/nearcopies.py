@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.linededup import _BASE, _mix, _slices, _small, line_links
+from tessella.llm.linededup import _BASE, _LONG, _held, _mix, _slices, _small, line_links, with_first
 from tessella.llm.scratch import Scratch
 
 #: Texts verified together, and texts, on average, that one call of the verification gets.
@@ -42,6 +42,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.unique(_mix(hashes))
 
 
+def shingle_sets(texts: list[bytes], width: int) -> list:
+    """The distinct shingle hashes of each text."""
+    return [_held(shingle_hashes(t, width)) for t in texts]
+
+
 class _Signer:
     """Band keys of one text after the other."""
 
@@ -100,18 +105,17 @@ def gone(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
     every = scratch.table(docs.mapInArrow(_signatures(width, bands, rows), "doc_id long, key binary, sig array<long>"), "every")
     named = scratch.table(every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", F.lit(0).alias("pos"))).alias("first")), "named")
-    links = line_links(docs, every, named, scratch, width, similarity, block, _texts, "key binary, line binary", shingle_hashes, CALL)
+    links = line_links(docs, every, named, scratch, width, similarity, block, _texts, "key binary, line binary", shingle_sets, CALL)
     classes = scratch.table(links, "classes")
     scratch.drop("sets", "wanted", "places", "lines", "edges", "marked", "pairs", "more")
     met = named.join(classes, named.key == classes.node, "left").where("n > 1 or component is not null")
     met = scratch.table(met.select("key", "first.doc_id", F.coalesce("component", "key").alias("component")), "met")
-    kept = met.groupBy("component").agg(F.min("doc_id").alias("kept"))
-    named_ids = scratch.table(met.select("key", "component").join(kept, "component").select("key", "kept"), "kept")
+    named_ids = scratch.table(with_first(met, scratch, "component", "doc_id").select("key", "kept"), "kept")
     found = every.select("doc_id", "key").join(_small(named_ids), "key").where("doc_id <> kept")
     return scratch.table(found.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose ids ``gone`` does not name."""
+    """The rows of ``docs``, unchanged, whose ids ``gone`` does not name; rows with a null id stay, repeats of a row stay."""
     ids = gone(docs, id_col, text_col, **how)
-    return docs.join(_small(ids), docs[id_col].cast("long") == ids["gone_id"], "left_anti")
+    return docs.join(_small(ids, _LONG), docs[id_col].cast("long") == ids["gone_id"], "left_anti")

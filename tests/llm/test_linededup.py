@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import linededup as L
 
@@ -74,7 +75,43 @@ def test_signatures_do_not_depend_on_company():
 
 def test_hashes_count_shingles():
     for line in ("a", "abcdefg", "abcdefgh", "aaaaaaaaaa", "日本語テキストです", "x" * 100 + "y"):
-        assert len(L.shingle_hashes(line, 7)) == len(L.shingles(line, 7))
+        assert len(L.shingle_sets([line], 7)[0]) == len(L.shingles(line, 7))
+
+
+def test_shared_shingles_of_sets_and_arrays(monkeypatch):
+    lines = ["ab", "ab\0", "a line of some length", "a line of that length", "short"]
+    small = L.shingle_sets(lines, 7)
+    monkeypatch.setattr(L, "_SET", 3)
+    mixed = L.shingle_sets(lines, 7)
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines):
+            want = len(L.shingles(a, 7) & L.shingles(b, 7))
+            assert L._shared(small[i], small[j]) == L._shared(mixed[i], mixed[j]) == want
+
+
+def test_forest_keeps_the_components():
+    rng = random.Random(8)
+    for _ in range(50):
+        edges = [(bytes([rng.randrange(30)]), bytes([rng.randrange(30)])) for _ in range(rng.randrange(40))]
+        star = L._forest(edges)
+        reach = {bytes([k]): bytes([k]) for k in range(30)}
+        for _ in range(30):
+            for a, b in edges:
+                reach[a] = reach[b] = min(reach[a], reach[b])
+        assert dict(star) == {x: r for x, r in reach.items() if x != r}
+
+
+def test_a_document_of_very_many_lines(spark):
+    n = 1_000_000
+    df = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("line "), i)), "\n").alias("text"))
+    gone = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i % 3 > 0)
+    got = df.select(L.without(F.col("text"), gone).alias("t")).first().t
+    assert got == "\n".join(f"line {i}" for i in range(0, n, 3))
+    rng = random.Random(6)
+    lines = ["the line that is here again and again" if i % 2 else "".join(rng.choice("abcdefghijklmnop ") for _ in range(40)) for i in range(20_000)]
+    again = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    r = L.dedup_lines(again).first()
+    assert (r.n_lines, r.n_removed) == (20_000, 9_999)
 
 
 def test_first_occurrence_stays(spark):
@@ -94,6 +131,6 @@ def test_stage_keeps_columns(clashing, none, corpus):
 def test_joins_beyond_the_broadcast_limit(spark, similar, monkeypatch):
     df = spark.createDataFrame(similar, "doc_id long, text string, lang string, source string, n_chars long")
     want = {r.doc_id: r.clean_text for r in L.dedup_lines(df).collect()}
-    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(L, "BROADCAST_LONGS", 0)
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(L, "HOT", 2)
     assert {r.doc_id: r.clean_text for r in L.dedup_lines(df).collect()} == want
