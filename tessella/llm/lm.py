@@ -9,8 +9,8 @@ pieces. Words never share pieces, so a document is a bag of word marginals:
     P(w) = max(c(w) - d, 0) / N + d V / N * sum over segmentations of prod p(piece)
 
 Training texts may be of several kinds, such as languages; a kind's own counts back off to P by the
-same formula, and a document's kind is marginalised, never read. A document's own frequencies are marginalised too, by a Dirichlet prior with mean P and weight
-``focus``: what a text has said it says again. The probability of its n tokens, w occurring n(w) times:
+same formula, and a document's kind is marginalised, never read. A document's own frequencies are
+marginalised too, by a Dirichlet prior with mean P and weight ``focus``: what a text has said it says again. The probability of its n tokens, w occurring n(w) times:
 
     prod over w of (focus P(w)) (focus P(w) + 1) ... (focus P(w) + n(w) - 1)  /  focus (focus + 1) ... (focus + n - 1)
 
@@ -33,13 +33,17 @@ from pyspark.sql import functions as F
 
 from tessella.llm.scratch import Scratch
 
-#: Kinds of training texts; the rarest share the last.
+#: Kinds of training texts that the mixture tells apart; the texts of all rarer ones are learned as one kind.
 KINDS = 16
+#: Bytes of text, at most, whose words one bucket gets on average.
+BUCKET_BYTES = 64 << 20
 #: Tokens of a block, unless one document has more.
 BLOCK_TOKENS = 750_000
 _MARK = "▁"
 _WORDS_AT_ONCE = 8192
 _FEW = 24
+#: Characters beyond which a word is summed alone, so many starts at a time.
+_LONG_WORD, _STARTS = 256, 1 << 16
 
 
 @dataclass
@@ -103,6 +107,12 @@ class Pieces:
         return np.log(out)
 
 
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 class Lattice:
     """Forward and backward sums over the segmentations of words; vectorised over words of one length."""
 
@@ -230,10 +240,60 @@ class Lattice:
                     w = self._spelled(word[i])[1][0]
                 else:
                     continue
-                a, b = ahead[j], ahead[i] + w
-                ahead[j] = max(a, b) + math.log1p(math.exp(-abs(a - b))) if a > -math.inf and b > -math.inf else max(a, b)
+                ahead[j] = _log_add(ahead[j], ahead[i] + w)
         return ahead[n] + logs[self.pieces.end]
 
+    def _spans(self, codes: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, piece ids, log weights) of the further pieces of a word that start in [lo, hi), by ascending start."""
+        at, h = np.arange(lo, hi), np.zeros(hi - lo, np.uint64)
+        single, parts = np.zeros(hi - lo, bool), []
+        for size in range(1, self.longest + 1):
+            fits = at + size <= len(codes)
+            at, h = at[fits], h[fits]
+            if not len(at):
+                break
+            h = self._hash(h, codes[at + size - 1])
+            ids = self._find(1, h)
+            hit = ids >= 0
+            parts.append((at[hit], at[hit] + size, ids[hit].astype(np.int64), self.logs[ids[hit]]))
+            if size == 1:
+                single[at[hit] - lo] = True
+            alive = ids != -2
+            at, h = at[alive], h[alive]
+        for i in np.nonzero(~single)[0] + lo:
+            parts.append((np.array([i]), np.array([i + 1]), *self._spelled(chr(int(codes[i])))))
+        starts, ends, ids, w = (np.concatenate([x[k] for x in parts]) for k in range(4))
+        order = np.argsort(starts, kind="stable")
+        return starts[order], ends[order], ids[order], w[order]
+
+    def _long(self, word: str, counts: np.ndarray | None) -> float:
+        """As ``_group`` for one long word; its pieces are found for many starts at once and never held all."""
+        n, codes = len(word), np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        heads = [(j, k) for j in range(min(n, self.longest) + 1) if (k := self.pieces.first.get(word[:j])) is not None]
+        ahead = [-math.inf] * (n + 1)
+        for j, k in heads:
+            ahead[j] = float(self.logs[k])
+        portions = range(0, n, _STARTS)
+        for lo in portions:
+            starts, ends, _, w = self._spans(codes, lo, min(n, lo + _STARTS))
+            for i, j, x in zip(starts.tolist(), ends.tolist(), w.tolist()):
+                ahead[j] = _log_add(ahead[j], ahead[i] + x)
+        end = float(self.logs[self.pieces.end])
+        total = ahead[n] + end
+        if counts is not None:
+            back = [-math.inf] * n + [end]
+            for lo in reversed(portions):
+                starts, ends, ids, w = self._spans(codes, lo, min(n, lo + _STARTS))
+                weight = np.empty(len(starts))
+                for at, (i, j, x) in enumerate(zip(starts[::-1].tolist(), ends[::-1].tolist(), w[::-1].tolist())):
+                    weight[at] = ahead[i] + x + back[j]
+                    back[i] = _log_add(back[i], x + back[j])
+                self._add(counts, ids[::-1], np.exp(weight - total))
+            for j, k in heads:
+                counts[k] += math.exp(float(self.logs[k]) + back[j] - total)
+            counts[self.pieces.end] += 1
+        return total
+
     def marginals(self, words: list[str], counts: np.ndarray | None = None) -> np.ndarray:
         """log P of each word (none empty) over all its segmentations; adds expected piece counts to ``counts``."""
         out = np.empty(len(words))
@@ -241,6 +301,10 @@ class Lattice:
         order = np.argsort(sizes, kind="stable")
         cuts = np.nonzero(np.diff(sizes[order], prepend=-1))[0].tolist() + [len(words)]
         for lo, hi in zip(cuts, cuts[1:]):
+            if sizes[order[lo]] > _LONG_WORD:
+                for k in order[lo:hi]:
+                    out[k] = self._long(words[k], counts)
+                continue
             if counts is None and hi - lo < _FEW:
                 for k in order[lo:hi]:
                     out[k] = self._alone(words[k])
@@ -289,7 +353,7 @@ class _Block:
         n = np.concatenate(self.n) if words else np.zeros(0, np.int64)
         kinds = np.repeat(self.kinds, np.diff(ends, prepend=0)) if len(ends) else np.zeros(0, np.int64)
         learned = kinds >= 0
-        counts = np.bincount(at[learned] * self.n_kinds + kinds[learned], n[learned], len(words) * self.n_kinds).astype("<i8").reshape(-1, self.n_kinds)
+        counts = np.bincount(at[learned] * self.n_kinds + kinds[learned], n[learned], len(words) * self.n_kinds).astype("<u4").reshape(-1, self.n_kinds)  # a block has fewer tokens than that
         rows = [{"block": block, "bucket": -1, "ids": self.ids, "kinds": self.kinds, "ends": ends.tolist(), "tokens": self.tokens, "at": at.astype("<u4").tobytes(), "n": n.astype("<u4").tobytes()}]
         bounds = np.searchsorted(dealt[order], np.arange(buckets + 1))
         for b in range(buckets):
@@ -322,7 +386,7 @@ def _merged(table: pa.Table, n_kinds: int) -> tuple[list[bytes], list[np.ndarray
     lists = [np.fromiter((index.setdefault(w, len(index)) for w in words.as_py().split(b"\n")), np.int64) for words in table.column("words")]
     total = np.zeros((len(index), n_kinds), np.int64)
     for held, counts in zip(lists, table.column("counts")):
-        total[held] += np.frombuffer(counts.as_py(), "<i8").reshape(-1, n_kinds)  # a row's words are distinct
+        total[held] += np.frombuffer(counts.as_py(), "<u4").reshape(-1, n_kinds)  # a row's words are distinct
     return list(index), lists, total
 
 
@@ -372,14 +436,20 @@ class Statistics:
 
 
 def _scores(pieces: Pieces, logs: np.ndarray, s: Statistics):
-    """ln P, and the counts by kind, of each word, in the order of each block's list."""
+    """ln P, the pieces' part of it, and the counts by kind, of each word, in the order of each block's list.
+
+    Counts take four bytes where all of a row do, else eight.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         words, lists, total = _merged(table, len(s.n))
-        p = s.backed(total.sum(1), s.n.sum(), s.distinct, Lattice(pieces, logs).marginals([w.decode() for w in words]))
+        spelled = Lattice(pieces, logs).marginals([w.decode() for w in words])
+        p = s.backed(total.sum(1), s.n.sum(), s.distinct, spelled)
+        kinds = ["<u4" if total[x].max(initial=0) < 1 << 32 else "<u8" for x in lists]
         return pa.table({
             "block": table.column("block"), "bucket": table.column("bucket"),
-            "c": pa.array([total[x].astype("<i8").tobytes() for x in lists], pa.binary()), "p": pa.array([p[x].astype("<f8").tobytes() for x in lists], pa.binary()),
+            "c": pa.array([total[x].astype(k).tobytes() for x, k in zip(lists, kinds)], pa.binary()), "p": pa.array([p[x].astype("<f8").tobytes() for x in lists], pa.binary()),
+            "q": pa.array([spelled[x].astype("<f4").tobytes() for x in lists], pa.binary()),
         })
 
     return run
@@ -406,8 +476,11 @@ def _log_rising(logs: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _documents(s: Statistics, focus: float):
     def run(blocks: pa.Table, scores: pa.Table) -> pa.Table:
         scores = scores.sort_by("bucket")
-        counts = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in scores.column("c")] or [np.zeros(0, np.int64)]).reshape(-1, len(s.n))
-        logs = np.concatenate([np.frombuffer(x.as_py(), "<f8") for x in scores.column("p")] or [np.zeros(0)])
+        logs = [np.frombuffer(x.as_py(), "<f8") for x in scores.column("p")]
+        counts = [np.frombuffer(x.as_py(), "<u4" if len(x.as_py()) == 4 * len(p) * len(s.n) else "<u8") for x, p in zip(scores.column("c"), logs)]
+        counts = np.concatenate(counts or [np.zeros(0)]).astype(np.int64).reshape(-1, len(s.n))
+        spelled = np.concatenate([np.frombuffer(x.as_py(), "<f4") for x in scores.column("q")] or [np.zeros(0)]).astype(float)
+        logs = np.concatenate(logs or [np.zeros(0)])
         (row,) = blocks.select(["ids", "kinds", "ends", "tokens"]).to_pylist()
         at, n = (np.frombuffer(blocks.column(c)[0].as_py(), "<u4").astype(np.int64) for c in ("at", "n"))
         ends, tokens = np.array(row["ends"], np.int64), np.array(row["tokens"], np.int64)
@@ -424,6 +497,8 @@ def _documents(s: Statistics, focus: float):
         all_n, all_texts = int(s.n.sum()), int(s.texts.sum())
         rate = math.log10(all_n + 0.5 * (s.distinct + 1))
         base = per_document(np.log10(every[at] + 0.5) * n) - rate * tokens + math.log10(all_texts + 0.5) - rate
+        share = (all_texts + 0.5) / (all_n + 1)
+        lattice = per_document(spelled[at] * n) + math.log1p(-share) * tokens + math.log(share)
         of = _log_rising(np.full(len(tokens), math.log(focus)), tokens + 1)
         end = s.backed(np.array([all_texts]), all_n, s.distinct, np.full(1, -np.inf)) if all_n else np.log([0.5])
         whole = np.full(len(tokens), -np.inf)
@@ -436,19 +511,23 @@ def _documents(s: Statistics, focus: float):
         return pa.table({
             "doc_id": pa.array(row["ids"], pa.int64()), "learned": pa.array([k >= 0 for k in row["kinds"]], pa.bool_()), "n_tokens": pa.array(tokens + 1),
             "n_known": pa.array(per_document(n * (every[at] > 0)) + (all_texts > 0)), "train_tokens": pa.array(np.full(len(tokens), all_n)),
-            "base_score": pa.array(base), "score": pa.array(whole / math.log(10)),
+            "base_score": pa.array(base), "score": pa.array(whole / math.log(10)), "lattice_score": pa.array(lattice / math.log(10)),
         })
 
     return run
 
 
-_RESULT = "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_RESULT = "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 
 
 def score(
     docs: DataFrame, learn: Column, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", kind: Column | None = None, rounds: int = 2, prior: float = 1000.0, focus: float = 4000.0, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
-    """doc_id, learned, n_tokens, n_known, train_tokens, base_score and score (log10) for every row of ``docs``.
+    """doc_id, learned, n_tokens, n_known, train_tokens, base_score, score and lattice_score (log10) for every row of ``docs``.
+
+    ``lattice_score`` is that of the pieces alone: the sum over tokens of the words' marginals over all
+    segmentations and the ends' share, without whole words, kinds or the document's own frequencies.
+    ``rounds`` of re-estimation, none: the vocabulary's own weights.
 
     Rows where ``learn`` holds are the training texts; null counts as false. ``kind`` names the kind of
     a training text (null: a kind of its own); without it all are of one. Tokens are the words, A-Z
@@ -457,7 +536,8 @@ def score(
     likely as a word. Other columns are not read. An empty table gives an empty table.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     learn, kind = F.coalesce(learn, F.lit(False)), F.coalesce((F.lit("") if kind is None else kind).cast("string"), F.lit("\0"))
     names = [r[0] for r in docs.where(learn).groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(KINDS).collect()] or [""]
     number = F.lit(len(names) - 1)
@@ -483,5 +563,5 @@ def score(
         for piece, x in vocabulary.select("words").mapInArrow(_expected(pieces, logs), "piece int, n double").groupBy("piece").agg(F.sum("n")).collect():
             counts[piece] += x
         logs = pieces.normal(counts)
-    scored = lists.groupBy("bucket").applyInArrow(_scores(pieces, logs, s), "block long, bucket int, c binary, p binary")
+    scored = lists.groupBy("bucket").applyInArrow(_scores(pieces, logs, s), "block long, bucket int, c binary, p binary, q binary")
     return blocks.where("bucket < 0").groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(_documents(s, focus), _RESULT)

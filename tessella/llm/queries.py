@@ -135,7 +135,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every document under the subword lattice, learned from four fifths of the ids."""
     found = lm.score(_documents(spark, sf_dir), _remainder(5) != 1, lm.Pieces.read(_tokenizer("piece_bpe_32k.model")), kind=F.col("lang"))
-    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
 
 
 @_query

@@ -83,9 +83,9 @@ def test_counts_and_base(docs, corpus, pieces, block_tokens):
     base = {}
     for i, t, *_ in corpus:
         base.setdefault((i, len(tokens(t)), sum(counts[w] > 0 for w in tokens(t))), sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t)))
-    for i, learned, size, known, total, b, s in got:
+    for i, learned, size, known, total, b, s, spelled in got:
         assert learned == (i is not None and i % 5 != 1) and total == n
-        assert abs(base[i, size, known] - b) < 1e-9 * size + 1e-9 and s < 0
+        assert abs(base[i, size, known] - b) < 1e-9 * size + 1e-9 and s < 0 and spelled < 0
 
 
 def test_blocks_do_not_matter(docs, pieces):
@@ -95,7 +95,8 @@ def test_blocks_do_not_matter(docs, pieces):
 
 def test_score_by_hand(spark, pieces):
     df = spark.createDataFrame([(0, "ab ab b"), (1, "ab ba")], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in lm.score(df, F.col("doc_id") == 0, pieces, rounds=0, focus=10.0).collect()}
+    rows = lm.score(df, F.col("doc_id") == 0, pieces, rounds=0, focus=10.0).collect()
+    got = {r.doc_id: r.score for r in rows}
     d = 1 / (1 + 2 * 1)  # one word once, one twice
     n, v = 4, 3
     marginal = lambda w: math.exp(brute(pieces, pieces.prior, w))
@@ -104,6 +105,9 @@ def test_score_by_hand(spark, pieces):
     end = (max(1 - d, 0) + d * v * ((1 - d) / n)) / n
     p = 10 * kind(2, "ab") * 10 * kind(0, "ba") * 10 * end / (10 * 11 * 12)
     assert abs(got[1] - math.log10(p)) < 1e-9
+    share = 1.5 / 5
+    alone = {r.doc_id: r.lattice_score for r in rows}
+    assert abs(alone[1] - math.log10(marginal("ab") * marginal("ba") * (1 - share) ** 2 * share)) < 1e-5
 
 
 def test_nothing_learned_and_empty(docs, none, clashing, pieces, corpus):
@@ -119,3 +123,24 @@ def test_public_vocabulary():
     lattice = lm.Lattice(pieces, pieces.prior)
     words = ["the", "lattice", "naïve", "\U0001f600"]
     assert np.allclose(lattice.marginals(words), [brute(pieces, pieces.prior, w) for w in words])
+
+
+@pytest.mark.parametrize("portion", [5, 1 << 16])
+def test_long_words(pieces, portion, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcé日"), n, p=[0.4, 0.4, 0.1, 0.05, 0.05])) for n in (257, 300, 513)]
+    lattice = lm.Lattice(pieces, pieces.prior)
+    short, long_ = np.zeros(len(pieces.prior)), np.zeros(len(pieces.prior))
+    want = np.concatenate([lattice._group([w], short) for w in words])
+    monkeypatch.setattr(lm, "_STARTS", portion)
+    assert np.allclose(lattice.marginals(words, long_), want) and np.allclose(lattice.marginals(words), want)
+    assert np.allclose(short, long_)
+
+
+def test_a_word_of_a_million_characters(pieces):
+    lattice, counts = lm.Lattice(pieces, pieces.prior), np.zeros(len(pieces.prior))
+    word = "ab" * 500_000
+    total = lattice.marginals([word], counts)[0]
+    # Every segmentation of a prefix is extended alike: the log grows in proportion to the length.
+    half = lattice.marginals([word[:500_000]])[0]
+    assert total < half < 0 and abs(total / half - 2) < 1e-3 and counts.sum() > 10_000
