@@ -4,6 +4,12 @@ Words that stand once in a stretch of the text and once in a stretch of the temp
 longest increasing run of them holds, and the gaps between them are aligned in the same way. Coverage
 is the share of a template's words that the alignment meets. Only stretches that hold enough of a
 template's words, as a multiset, can reach the wanted coverage; others are not aligned.
+
+Words that a template does not have can never meet it, so a text is reduced to the template's own
+words first: comment marks, frames and text between its words cost nothing. Stretches of the reduced
+text begin at every half of their size, and their sizes double up to the whole of it, so that a notice
+lies whole in one of them however widely it is spread. Only short notices, a sentence, have a bound on
+their spread: a few common words in order are no notice unless they stand together.
 """
 
 from __future__ import annotations
@@ -17,21 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Notices by which licenses name themselves in texts.
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "MIT-terms": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-}
+from tessella.llm.templates import TEMPLATES
+
+#: Words up to which a template is a short notice, and the multiple of its length, and more words, over which one may be spread.
+SHORT, SPREAD, MORE = 20, 1.5, 2
 _WORD = re.compile(r"[^\W_]+(?:[.\-/][^\W_]+)*")
 
 
@@ -94,11 +89,13 @@ def _anchors(a: list[str], i: int, i_end: int, b: list[str], j: int, j_end: int)
 
 
 class Scanner:
-    """Templates prepared for scanning."""
+    """Templates, by name (license, naming words, text), prepared for scanning."""
 
-    def __init__(self, templates: dict[str, str], coverage: float = 0.8, slack: float = 0.5):
-        self.coverage, self.slack = coverage, slack
-        self.templates = {name: words(text) for name, text in templates.items()}
+    def __init__(self, templates: dict[str, tuple[str, str, str]], coverage: float = 0.8):
+        self.coverage = coverage
+        self.licenses = {name: t[0] for name, t in templates.items()}
+        self.templates = {name: words(t[2]) for name, t in templates.items()}
+        self.naming = {name: [self._only(name, w) for w in t[1].split()] for name, t in templates.items()}
         self.counts = {name: Counter(t) for name, t in self.templates.items()}
         self.least = {name: -int(-coverage * len(t) // 1) for name, t in self.templates.items()}  # ceiling
         # What a coverage leaves out is too little for all of a template's rarest words to miss.
@@ -114,56 +111,129 @@ class Scanner:
                 total += c[w]
             self.keys[name] = set(keys)
 
-    def scan(self, text: str | None) -> Iterator[tuple[str, float, int, int, int]]:
-        """(template, coverage, words met, first and last word in the text) of each place where a template is covered."""
+    def _only(self, name: str, word: str) -> str:
+        """The word of a template that a naming word is, or is part of."""
+        return next(w for w in self.templates[name] if w == word or (len(word) > 4 and word in w))
+
+    def scan(self, text: str | None) -> list[tuple[str, str, float, int, int, int]]:
+        """(license, template, coverage, words met, first and last word in the text) of each place, by first word.
+
+        Of overlapping places the one that meets most words stays, then the better covered, then the
+        earlier, then that of the lesser name.
+        """
         low = (text or "").lower()
-        found = None
+        found, places = None, []
         for name, keys in self.keys.items():
-            if not any(k in low for k in keys):
-                continue
-            found = words(low) if found is None else found
-            yield from self._places(name, found)
-
-    def _places(self, name: str, text: list[str]) -> Iterator[tuple[str, float, int, int, int]]:
+            if all(w in low for w in self.naming[name]) and any(k in low for k in keys):
+                found = words(low) if found is None else found
+                places += ((-n, -c, first, name, last) for c, n, first, last in self._places(name, found))
+        chosen: list[tuple[int, int, tuple]] = []  # disjoint, by first word
+        for place in sorted(places):
+            n, c, first, name, last = place
+            at = bisect_left(chosen, (first,))
+            if (at == 0 or chosen[at - 1][1] < first) and (at == len(chosen) or chosen[at][0] > last):
+                chosen.insert(at, (first, last, (self.licenses[name], name, -c, -n, first, last)))
+        return [row for *_, row in chosen]
+
+    def _places(self, name: str, text: list[str]) -> Iterator[tuple[float, int, int, int]]:
+        """(coverage, words met, first, last) of disjoint places of one template."""
         template, count, least = self.templates[name], self.counts[name], self.least[name]
-        keys = self.keys[name]
-        reach = int(len(template) * (1 + self.slack)) + 2
-        hits = [k for k, w in enumerate(text) if w in keys]
-        done = 0
-        for hit in hits:
-            if hit < done:
+        at = [k for k, w in enumerate(text) if w in count]
+        own = [text[k] for k in at]
+        if sum(min(n, count[w]) for w, n in Counter(own).items()) < least:
+            return
+        taken = [False] * len(own)
+        if len(template) <= SHORT:
+            yield from self._sentences(name, at, own, taken)
+            return
+        size = 2 * len(template)
+        while True:
+            step = max(1, size // 2)
+            for lo in range(0, max(1, len(own) - step), step):
+                yield from self._stretch(name, at, own, taken, lo, min(len(own), lo + size))
+            if size >= len(own):
+                break
+            size *= 2
+
+    def _enough(self, name: str, words: list[str]) -> bool:
+        """Whether words can meet enough of a template, whatever their order."""
+        held, count = Counter(words), self.counts[name]
+        return sum(min(n, count[w]) for w, n in held.items()) >= self.least[name] and bool(self.keys[name] & held.keys())
+
+    def _sentences(self, name: str, at: list[int], own: list[str], taken: list[bool]) -> Iterator[tuple[float, int, int, int]]:
+        """The places of a short notice: around every key word all stretches are aligned that are not spread too widely."""
+        template, reach = self.templates[name], len(self.templates[name]) * SPREAD + MORE
+        for k, w in enumerate(own):
+            if w not in self.keys[name] or taken[k]:
                 continue
-            # A covered place that holds this key word, and none before it, lies in this stretch.
-            lo, hi = max(done, hit - reach), min(len(text), hit + reach)
-            stretch = text[lo:hi]
-            held = Counter(w for w in stretch if w in count)
-            if sum(min(n, count[w]) for w, n in held.items()) < least:
+            lo, hi = bisect_left(at, at[k] - reach), bisect_left(at, at[k] + reach)
+            while any(taken[lo:k]):
+                lo += 1
+            if not self._enough(name, own[lo:hi]):
                 continue
-            met = self._best(stretch, template, hit - lo)
-            if len(met) >= least:
-                first, last = lo + met[0][0], lo + met[-1][0]
-                yield name, len(met) / len(template), len(met), first, last
-                done = last + 1
-
-    def _best(self, stretch: list[str], template: list[str], hit: int) -> list[tuple[int, int]]:
-        """The best alignment of the template near word ``hit``: with the whole stretch, or with the part that begins where the template would."""
+            best: list[tuple[int, int]] = []
+            for i in range(lo, k + 1):
+                end = bisect_left(at, at[i] + reach)
+                for j in range(max(k + 1, i + self.least[name]), end + 1):
+                    met = [(x + i, y) for x, y in align(own[i:j], template)]
+                    if len(met) > len(best) and self._named(name, met):
+                        best = met
+            if len(best) >= self.least[name]:
+                first, last = best[0][0], best[-1][0]
+                yield len(best) / len(template), len(best), at[first], at[last]
+                taken[first : last + 1] = [True] * (last + 1 - first)
+
+    def _stretch(self, name: str, at: list[int], own: list[str], taken: list[bool], lo: int, hi: int) -> Iterator[tuple[float, int, int, int]]:
+        """The places in a stretch of the template's words, one after the other; their words are taken."""
+        template = self.templates[name]
+        open_ = [(lo, hi)]
+        while open_:
+            lo, hi = open_.pop()
+            while lo < hi and taken[lo]:
+                lo += 1
+            inside = next((k for k in range(lo, hi) if taken[k]), None)
+            if inside is not None:
+                open_ += [(inside, hi), (lo, inside)]
+                continue
+            if not self._enough(name, own[lo:hi]):
+                continue
+            met = self._best(own, lo, hi, template, self.keys[name])
+            if len(met) < self.least[name] or not self._named(name, met):
+                continue
+            first, last = met[0][0], met[-1][0]
+            yield len(met) / len(template), len(met), at[first], at[last]
+            taken[first : last + 1] = [True] * (last + 1 - first)
+            open_ += [(lo, first), (last + 1, hi)]
+
+    def _named(self, name: str, met: list[tuple[int, int]]) -> bool:
+        """Whether an alignment meets every naming word."""
+        there = {self.templates[name][j] for _, j in met}
+        return all(w in there for w in self.naming[name])
+
+    def _best(self, own: list[str], lo: int, hi: int, template: list[str], keys: set[str]) -> list[tuple[int, int]]:
+        """The best alignment of the template with the whole stretch, or with a part of it that begins where the template would."""
+        # In longer stretches these parts have been tried: each lies in a stretch of the first size.
+        starts = {max(lo, k - j) for k in range(lo, hi) if own[k] in keys for j, w in enumerate(template) if w == own[k]} if hi - lo <= 2 * len(template) else ()
         best: list[tuple[int, int]] = []
-        for at in [None, *(k for k, w in enumerate(template) if w == stretch[hit])]:
-            lo = 0 if at is None else max(0, hit - at)
-            hi = len(stretch) if at is None else min(len(stretch), hit - at + len(template))
-            met = [(i + lo, j) for i, j in align(stretch[lo:hi], template)]
-            if len(met) > len(best):
-                best = met
+        for start, end in [*((s, min(hi, s + len(template))) for s in sorted(starts)), (lo, hi)]:
+            if end - start > len(best):
+                met = [(i + start, j) for i, j in align(own[start:end], template)]
+                if len(met) > len(best):
+                    best = met
+            if len(best) == len(template):
+                break
         return best
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, coverage, n_met, first_word, last_word): a row for each place where a template is covered.
+_ROW = "doc_id long, license string, template string, coverage double, n_met int, first_word int, last_word int"
+
+
+def scan(docs: DataFrame, templates: dict[str, tuple[str, str, str]] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, license, template, coverage, n_met, first_word, last_word): a row for each place where a template is covered.
 
-    Word positions count the words of the whole text from 0. Null and empty texts, and texts without a
-    license, have no row; rows with a null id are scanned; repeated rows repeat. A place is searched
-    within one and a half template lengths of a word of the template that a covered place must hold.
-    Other columns are not read. An empty table gives an empty table.
+    Word positions count the words of the whole text from 0. Places do not overlap. Null and empty
+    texts, and texts without a license, have no row; rows with a null id are scanned; repeated rows
+    repeat. Other columns are not read. An empty table gives an empty table.
     """
     chosen = TEMPLATES if templates is None else templates
 
@@ -171,8 +241,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
         scanner = Scanner(chosen, coverage)
         for batch in batches:
             rows = [(doc_id, *place) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)) for place in scanner.scan(text.as_py())]
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "license", "coverage", "n_met", "first_word", "last_word"])
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in _ROW.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, license string, coverage double, n_met int, first_word int, last_word int")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _ROW)
