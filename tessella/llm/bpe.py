@@ -13,6 +13,7 @@ Only chunk names, and the tokens of shared chunks, are shuffled besides one shuf
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -174,13 +175,13 @@ def encode_with(codec: Codec, text: str | None, known: dict[bytes, np.ndarray])
     segments = [(s, e, np.asarray(codec.encode(raw[s:e].decode()) if ids is None else ids)) for s, e, ids in segments]
     ends = [s + np.cumsum(codec.sizes[ids]) for s, _, ids in segments]
     # Token ends of every segment: a window may begin and end at these only, or at the text's ends.
-    whole = {0, len(raw)}
+    whole, begins = {0, len(raw)}, [s for s, _, _ in segments]
 
     def agrees(at: int) -> bool:
         if at in whole:
             return True
-        k = next(k for k, (s, e, _) in enumerate(segments) if s <= at < e)
-        if at == segments[k][0]:
+        k = bisect_right(begins, at) - 1
+        if at == begins[k]:
             return True
         i = int(np.searchsorted(ends[k], at))
         return i < len(ends[k]) and int(ends[k][i]) == at

@@ -16,11 +16,11 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
-from tessella.llm.quality import restored
+from tessella.llm.quality import restored, without
 from tessella.llm.scratch import Scratch
 
 #: Lines verified together; a larger bucket is split.
@@ -371,14 +371,3 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     text = F.col("row").getField(text_col)
     return restored(joined(rows, gone), docs.columns, without(text, F.col("gone")), text_col)
-
-
-def without(text: Column, gone: Column) -> Column:
-    """``text`` without the lines that ``gone`` numbers; null ``gone`` removes none. Linear in both."""
-
-    def rest(lines: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-
-    # The outer array binds the lines once; named twice, they would be split again for each of them.
-    return F.when(gone.isNull(), text).otherwise(F.get(F.transform(F.array(F.split(text, "\n")), rest), 0))

@@ -8,7 +8,8 @@ keeps less than ``keep`` of its words is depleted.
 
 All of it is DataFrame expressions. Counts are gathered by (host, line), so that a host with a third
 of the rows is spread over all tasks. Common lines are (host, line) rows; joined with the lines of
-the distinct texts they become a short array for each text that holds any, whatever the limit.
+the distinct texts they become the line numbers that each text loses and the words on them, so that
+the scan of the texts themselves looks at no line again.
 """
 
 from __future__ import annotations
@@ -41,13 +42,23 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: _bare(x) != "")
 
 
+def _normal(line: Column) -> Column:
+    return F.translate(F.trim(F.regexp_replace(line, SPACES, " ")), _UPPER, _LOWER)
+
+
 def line_key(line: Column) -> Column:
     """Hash of a normalised line."""
-    return F.xxhash64(F.translate(F.trim(F.regexp_replace(line, SPACES, " ")), _UPPER, _LOWER))
+    return F.xxhash64(_normal(line))
+
 
+def _line(line: Column, pos: Column) -> Column:
+    """(line, pos, n): hash, line number and words of a line, null for one without a word; each line is normalised once."""
 
-def _line_words(line: Column) -> Column:
-    return F.size(words(line))
+    def of(normal: Column) -> Column:
+        n = F.length(normal) - F.length(F.translate(normal, " ", "")) + 1
+        return F.when(normal != "", F.struct(F.xxhash64(normal).alias("line"), pos.alias("pos"), n.alias("n")))
+
+    return F.get(F.transform(F.array(_normal(line)), of), 0)
 
 
 def repeated_windows(df: DataFrame, width: int = 3) -> DataFrame:
@@ -74,10 +85,10 @@ def repeated_windows(df: DataFrame, width: int = 3) -> DataFrame:
 
 
 def texts_once(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(host, key, held): the distinct texts of each host, with the hashes of their distinct lines."""
+    """(host, key, held): the distinct texts of each host, with (line, pos, n) of their lines that hold a word."""
     texts = docs.select(F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    held = texts.select("host", F.xxhash64("text").alias("key"), F.array_distinct(F.transform(lines(F.col("text")), lambda x: line_key(x))).alias("held"))
-    return held.groupBy("host", "key").agg(F.first("held").alias("held"))
+    held = F.filter(F.transform(F.split("text", "\n"), _line), lambda x: x.isNotNull())
+    return texts.select("host", F.xxhash64("text").alias("key"), held.alias("held")).groupBy("host", "key").agg(F.first("held").alias("held"))
 
 
 def common_lines(once: DataFrame, min_docs: int = 20, share: float = 0.1, most_docs: int | None = None) -> DataFrame:
@@ -86,7 +97,7 @@ def common_lines(once: DataFrame, min_docs: int = 20, share: float = 0.1, most_d
     limit = limit if most_docs is None else F.least(F.lit(float(most_docs)), limit)
     hosts = once.groupBy("host").agg(F.count("*").alias("n_texts"))
     least = min_docs if most_docs is None else min(min_docs, most_docs)
-    found = once.select("host", F.explode("held").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    found = once.select("host", F.explode(F.array_distinct("held.line")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
     return found.alias("f").join(_small(hosts).alias("h"), F.expr("f.host <=> h.host")).where(F.col("n") > limit).select("f.host", "line")
 
 
@@ -95,15 +106,27 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def common_in_texts(docs: DataFrame, text_col: str, host_col: str, min_docs: int, share: float, most_docs: int | None, scratch: Scratch) -> DataFrame:
-    """(host, key, common): the common lines that each distinct text holds, for texts that hold any."""
+    """(host, key, gone, n_gone): the numbers of the common lines of each distinct text that holds any, and the words on them."""
     once = scratch.table(texts_once(docs, text_col, host_col), "once")
     common = scratch.table(common_lines(once, min_docs, share, most_docs), "common")
-    met = once.select("host", "key", F.explode("held").alias("line")).alias("t").join(_small(common).alias("c"), F.expr("t.host <=> c.host and t.line = c.line"))
-    found = scratch.table(met.groupBy("t.host", "t.key").agg(F.collect_list("t.line").alias("common")), "found")
+    met = once.select("host", "key", F.explode("held").alias("at")).alias("t").join(_small(common).alias("c"), F.expr("t.host <=> c.host and t.at.line = c.line"))
+    found = met.groupBy("t.host", "t.key").agg(F.collect_list("t.at.pos").alias("gone"), F.sum("t.at.n").alias("n_gone"))
+    found = scratch.table(found, "found")
     scratch.drop("once", "common")
     return found
 
 
+def without(text: Column, gone: Column) -> Column:
+    """``text`` without the lines that ``gone`` numbers; null ``gone`` removes none. Linear in both."""
+
+    def rest(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    # The outer array binds the lines once; named twice, they would be split again for each of them.
+    return F.when(gone.isNull(), text).otherwise(F.get(F.transform(F.array(F.split(text, "\n")), rest), 0))
+
+
 def assess(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, share: float = 0.1, keep: float = 0.5, min_words: int = 50, repeat_percent: int = 50, with_text: bool = False, carry: bool = False, most_docs: int | None = None
 ) -> DataFrame:
@@ -128,19 +151,15 @@ def assess(
         F.length(_bare(F.col("text"))).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("lines", lambda x: F.struct(line_key(x).alias("key"), _line_words(x).alias("n"))).alias("held"),
     )
     met = rows.alias("r").join(_small(common).alias("c"), F.expr("r.host <=> c.host and r.key = c.key"), "left").drop(F.col("c.host"), F.col("c.key"))
-    left = F.when(F.col("common").isNull(), F.col("n_words")).otherwise(
-        F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + F.when(F.array_contains("common", x["key"]), 0).otherwise(x["n"]))
-    )
+    left = F.col("n_words") - F.coalesce("n_gone", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     met = met.withColumn("n_left", left.cast("long")).withColumn("base_failed", failed)
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left"]
     kept = ~F.col("base_failed") & (F.col("n_left") >= F.col("n_words") * keep)
     if with_text:
-        stays = F.filter(F.split("text", "\n"), lambda x: (_bare(x) == "") | ~F.array_contains("common", line_key(x)))
-        met = met.withColumn("clean_text", F.when(F.col("common").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
+        met = met.withColumn("clean_text", without(F.col("text"), F.col("gone")))
         out.append("clean_text")
     if carry:
         out.append("row")
@@ -161,7 +180,11 @@ def restored(rows: DataFrame, columns: list[str], text: Column, text_col: str =
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns, their texts without common lines; see ``assess``."""
+    """The rows of ``docs`` that the rules keep, with their columns, their texts without common lines; see ``assess``.
+
+    Null texts, having no words, go; null ids and hosts, repeats and clashing names stay as they are.
+    An empty table gives an empty table.
+    """
     found = assess(docs, id_col, text_col, host_col, with_text=True, carry=True, **how)
     # Not a filter: pushed down, its expressions would be computed a second time for every row.
     kept = found.select(F.explode(F.when(F.col("kept"), F.array(F.struct("row", F.col("clean_text").alias("text"), F.length("clean_text").cast("long").alias("n"))))).alias("k")).select("k.row", "k.text", "k.n")

@@ -36,8 +36,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and the verdict of the common-line rules for every document; a document's source is its host."""
-    found = quality.assess(_documents(spark, sf_dir))
+    """Base counts and the verdict of the common-line rules for every document; a document's source is its host.
+
+    The pipeline's limits: a line in more than ten texts of a host is common, on a small host in more than a tenth of them, three at least.
+    """
+    found = quality.assess(_documents(spark, sf_dir), min_docs=3, share=0.1, most_docs=10)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left")
 
 
@@ -51,7 +54,7 @@ WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_
   keyed AS (SELECT doc_id, source, text, raw, len(parts) AS n, translate(array_to_string(parts, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line WHERE len(parts) > 0),
   dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM keyed GROUP BY doc_id),
   hosts AS (SELECT source, count(DISTINCT text) AS n_texts FROM docs GROUP BY source),
-  common AS (SELECT k.source, k.key FROM keyed k JOIN hosts h ON k.source IS NOT DISTINCT FROM h.source GROUP BY k.source, k.key, h.n_texts HAVING count(DISTINCT k.text) > 20 AND count(DISTINCT k.text) > 0.1 * h.n_texts),
+  common AS (SELECT k.source, k.key FROM keyed k JOIN hosts h ON k.source IS NOT DISTINCT FROM h.source GROUP BY k.source, k.key, h.n_texts HAVING count(DISTINCT k.text) > least(10, greatest(3, 0.1 * h.n_texts))),
   gone AS (SELECT k.doc_id, sum(k.n) AS n FROM keyed k JOIN common c ON k.source IS NOT DISTINCT FROM c.source AND k.key = c.key GROUP BY k.doc_id),
   base AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
@@ -166,7 +169,9 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrival = F.coalesce(F.floor((F.col("doc_id") - (low or 0)) / width), F.lit(0)).cast("int")
     store = sharding.ShardStore(spark, scratch.Scratch(spark, "shards").path, target=64 << 20)
     for k in range(ARRIVALS):
-        store.append(docs.where(arrival == k))
+        # Bounds of the id itself, so that row groups outside them are not read.
+        inside = (F.col("doc_id") >= (low or 0) + k * width) & (F.col("doc_id") < (low or 0) + (k + 1) * width)
+        store.append(docs.where(inside | F.col("doc_id").isNull() if k == 0 else inside))
         store.compact(keep=1)
     return store.read().select("doc_id", arrival.alias("arrival"), "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 

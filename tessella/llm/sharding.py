@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -114,11 +115,22 @@ class ShardStore:
         return Run(path, tuple(sorted((n, b) for n, b in files if n.endswith(".parquet"))))
 
     def append(self, df: DataFrame) -> int:
-        """Write an arrival as one run and commit it. An empty arrival commits a run without rows."""
-        return self.commit([self._write(df)], schema=df.schema.json())
+        """Write an arrival as one run and commit it. An empty arrival commits a run without rows.
+
+        Any columns, nulls and repeated rows are kept as they are. The first arrival fixes the schema.
+        """
+        return self._committed(self._write(df), schema=df.schema.json())
+
+    def _committed(self, run: Run, removed: list[Run] = [], schema: str | None = None) -> int:  # noqa: B006
+        """Commit a run of our own; if that fails its files go, as no manifest will ever name them."""
+        try:
+            return self.commit([run], removed, schema)
+        except Exception:
+            self._fs.delete(self._path(run.path), True)
+            raise
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, as committed, whatever else lies in the folder. A store without commits has no schema to read."""
+        """The rows of a version, as committed, whatever else lies in the folder: all columns, nulls and repeats. A store without commits has no schema to read: ValueError."""
         _, schema, runs = self.manifest(version)
         if schema is None:
             raise ValueError("nothing has been appended")
@@ -144,7 +156,7 @@ class ShardStore:
         """Merge runs into one of target-sized files. No shuffle: scan tasks are joined into as many writers as there are files."""
         _, schema, _ = self.manifest()
         files = max(1, round(sum(r.size for r in runs) / self.target))
-        return self.commit([self._write(self._rows(runs, schema).coalesce(files))], runs)
+        return self._committed(self._write(self._rows(runs, schema).coalesce(files)), runs)
 
     def compact(self, keep: int | None = None) -> int:
         """Merge until no tier is due; returns the number of merges. ``keep``: vacuum after each, keeping so many versions."""
@@ -160,10 +172,25 @@ class ShardStore:
                     self.vacuum(keep)
         return merges
 
+    def sweep(self, older: float = 86_400.0) -> int:
+        """Delete runs that no manifest names and whose folder has not changed for so many seconds; returns their number.
+
+        They are what writers that died have left; ``older`` must exceed the time that a write takes.
+        """
+        folder = self._path(f"{self.root}/{DATA}")
+        if not self._fs.exists(folder):
+            return 0
+        found = [(f"{self.root}/{DATA}/{x.getPath().getName()}", x.getModificationTime() / 1000) for x in self._fs.listStatus(folder)]
+        named = {r.path for v in self.versions() for r in self.manifest(v)[2]}  # after the listing: a run committed since is named
+        dead = [path for path, changed in found if path not in named and changed <= time.time() - older]
+        for path in dead:
+            self._fs.delete(self._path(path), True)
+        return len(dead)
+
     def vacuum(self, keep: int = 2) -> int:
         """Delete manifests before the latest ``keep``, and runs that only those name; returns the runs deleted.
 
-        Runs that no manifest has named yet belong to writers at work and stay.
+        Runs that no manifest has named yet belong to writers at work and stay; see ``sweep``.
         """
         versions = self.versions()
         old, new = versions[:-keep], versions[-keep:]

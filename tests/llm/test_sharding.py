@@ -73,3 +73,17 @@ def test_empty_arrivals_and_columns(store, none, clashing, spark):
     wide = ShardStore(spark, Scratch(spark, "store").path)
     wide.append(clashing)
     assert rows(wide.read()) == rows(clashing)
+
+
+def test_nothing_is_left_behind(store, docs, spark, monkeypatch):
+    for _ in range(3):
+        store.append(docs)
+    (runs,) = store.due()
+    ShardStore(spark, store.root, target=store.target, fan=store.fan).merge(runs)
+    folders = lambda: {x.getPath().getName() for x in store._fs.listStatus(store._path(f"{store.root}/data"))}
+    before = folders()
+    with pytest.raises(CommitConflict):
+        store.merge(runs)
+    assert folders() == before
+    docs.write.parquet(f"{store.root}/data/unfinished")
+    assert store.sweep(older=3600) == 0 and store.sweep(older=0) == 1 and folders() == before
