@@ -25,8 +25,9 @@ SEED = 42
 QUARTERS = 4
 #: Ids that are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 4_000_000
-#: Fingerprints in a block: one task holds one block, and one block of each of at most 21 tiles.
-BLOCK = 4096
+#: Fingerprints in a block: one task holds one block, and one block of each of at most 21 tiles. What is shuffled
+#: for a number of comparisons falls with the block: two blocks, 512 KB, for 268 million of them.
+BLOCK = 1 << 14
 #: Characters of a text that are split into words at once.
 PIECE = 1 << 22
 _PAIRS_AT_ONCE = 1 << 20
