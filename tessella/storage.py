@@ -46,6 +46,17 @@ def close_all() -> None:
         _delete(_open.pop(path), path)
 
 
+def opened() -> set[str]:
+    """The scratch folders that stand now."""
+    return set(_open)
+
+
+def close(folders: set[str]) -> None:
+    """Remove these scratch folders, once what read them has been written."""
+    for path in folders & set(_open):
+        _delete(_open.pop(path), path)
+
+
 atexit.register(close_all)
 
 
