@@ -278,7 +278,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lift = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     names = sorted(r["feature"] for r in counted(found).where(lift > 1.5).collect())
     index = {f: k for k, f in enumerate(names)}
-    learned = [([index[f] for f in a if f in index], t) for a, t in found.collect()]
+    # Only the chosen features of a row reach the driver.
+    chosen = F.array_intersect("found", F.array(*map(F.lit, names)).cast("array<string>")) if names else F.array().cast("array<string>")
+    learned = [([index[f] for f in a], t) for a, t in found.select(chosen, "toxic").collect()]
     learned.sort()
     scratch.drop("texts", "found")
     weights, model.bias = _fit(learned, len(names))
