@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 #: Component types of buffers, as numpy kinds, and the Spark types that hold them.
 COMPONENTS = {"INT8": ("<i1", "short"), "UINT8": ("<u1", "short"), "INT16": ("<i2", "int"), "UINT16": ("<u2", "int"), "INT32": ("<i4", "int"), "UINT32": ("<u4", "long"), "INT64": ("<i8", "long"), "UINT64": ("<u8", "decimal(20,0)"), "FLOAT32": ("<f4", "float"), "FLOAT64": ("<f8", "double")}
 _TOP = {"INT8": 127.0, "UINT8": 255.0, "INT16": 32767.0, "UINT16": 65535.0, "INT32": 2147483647.0, "UINT32": 4294967295.0}
-#: More features than this in one buffer are refused.
-MOST = 10_000_000
 
 
 def value(raw: Column, component: str, normalized: bool = False, scale: float | None = None, offset: float | None = None, no_data: float | None = None, default: float | None = None) -> Column:
@@ -34,7 +32,8 @@ def value(raw: Column, component: str, normalized: bool = False, scale: float |
 def decode_buffer(buffers: DataFrame, component: str, width: int = 1) -> DataFrame:
     """(name, feature_index, value) from buffers (name, content): fixed-width numbers, or vectors as arrays.
 
-    A buffer that ends amid a feature, or has more than ten million, gives no row. Null contents are empty.
+    A buffer that ends amid a feature gives no row here and one in ``broken``. Null contents are empty.
+    Values leave in portions, so that a buffer of any length is read whole.
     """
     kind, sql = COMPONENTS[component]
     wide = component == "UINT64"
@@ -45,7 +44,7 @@ def decode_buffer(buffers: DataFrame, component: str, width: int = 1) -> DataFra
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = content.as_py() or b""
                 size = np.dtype(kind).itemsize * width
-                if len(raw) % size or len(raw) // size > MOST:
+                if len(raw) % size:
                     continue
                 for at in range(0, len(raw) // size, 1 << 16):
                     part = np.frombuffer(raw[at * size : (at + (1 << 16)) * size], kind)
@@ -58,6 +57,12 @@ def decode_buffer(buffers: DataFrame, component: str, width: int = 1) -> DataFra
     return buffers.select("name", "content").mapInArrow(run, f"name string, feature_index int, value {sql if width == 1 else f'array<{sql}>'}")
 
 
+def broken(buffers: DataFrame, component: str, width: int = 1) -> DataFrame:
+    """(name, size) of the buffers that end amid a feature."""
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    return buffers.where(size % (np.dtype(COMPONENTS[component][0]).itemsize * width) != 0).select("name", size.alias("size"))
+
+
 def batch_table(rows: DataFrame, json_col: str, length_col: str, names: dict[str, str]) -> DataFrame:
     """Feature rows from batch tables in JSON, one array for each property in ``names`` (name: Spark type).
 

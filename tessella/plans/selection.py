@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.vectors import Vec
 from tessella.functions.volumes import OUTSIDE, Bounds, Plane, frustum_from_fov, visibility
-from tessella.plans.trees import descend, fold_up
+from tessella.plans.trees import descend
 from tessella.storage import Scratch
 
 VIEW = ("px", "py", "pz", "dx", "dy", "dz", "ux", "uy", "uz", "height", "fov_x", "fov_y")
@@ -216,8 +216,8 @@ def _under_kicks(rows: DataFrame, o: Options, scratch: Scratch) -> DataFrame:
 def load_queue(chosen: DataFrame, options: Options | None = None) -> DataFrame:
     """The loads of each frame: frame, tile_id, load_group, score, rank, dispatched.
 
-    The score is the mean of depth, distance, off-axis angle and inverse error, each scaled to 0..1 over
-    the frame's queue, lower first; groups go before scores. Extremes are joined from an aggregate, so
+    The score is one less the mean of depth, distance, off-axis angle and inverse error, each scaled to
+    0..1 over the frame's queue, higher first; groups go before scores. Extremes are joined from an aggregate, so
     that only the first ``loads`` of a group pass through one task. Ties: the smaller tile id.
     """
     o = options or Options()
@@ -225,9 +225,10 @@ def load_queue(chosen: DataFrame, options: Options | None = None) -> DataFrame:
     raw = ["raw_depth", "distance", "off_axis", "raw_sse"]
     ends = queue.groupBy("frame").agg(*(f(c).alias(f"{n}_{c}") for c in raw for n, f in (("lo", F.min), ("hi", F.max))))
     met = queue.join(ends, "frame")
-    scaled = [F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(0.0) for c in raw]
-    scored = met.withColumn("score", (scaled[0] + scaled[1] + scaled[2] + scaled[3]) / 4)
-    order = Window.partitionBy("frame").orderBy(F.desc("load_group"), "score", "tile_id")
+    floors = {"raw_depth": 1.0, "distance": 1e-10, "off_axis": 1e-10, "raw_sse": 1e-10}
+    scaled = [(F.col(c) - F.col(f"lo_{c}")) / F.greatest(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(floors[c])) for c in raw]
+    scored = met.withColumn("score", 1.0 - (scaled[0] + scaled[1] + scaled[2] + scaled[3]) / 4)
+    order = Window.partitionBy("frame").orderBy(F.desc("load_group"), F.desc("score"), "tile_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= o.loads)
     return ranked.select("frame", "tile_id", "load_group", "score", "rank")
 

@@ -28,7 +28,10 @@ def quadtree(spark: SparkSession, levels: int, root_x: int = 1, root_y: int = 1)
 
 
 def descend(start: DataFrame, children: Callable[[DataFrame, int], DataFrame], opens: Column, scratch: Scratch, levels: int) -> DataFrame:
-    """Rows of all levels: ``children`` makes the next level from the rows where ``opens`` holds."""
+    """Rows of all levels: ``children`` makes the next level from the rows where ``opens`` holds.
+
+    A tree that goes on beyond ``levels`` raises: a part of it would be taken for the whole.
+    """
     now = scratch.table(start, "level-0")
     every = now
     for k in range(1, levels):
@@ -36,6 +39,9 @@ def descend(start: DataFrame, children: Callable[[DataFrame, int], DataFrame], o
         if now.isEmpty():
             break
         every = every.unionByName(now)
+    else:
+        if not children(now.where(opens), max(1, levels)).isEmpty():
+            raise ValueError(f"the tree has more than {levels} levels: raise the number of levels")
     return every
 
 

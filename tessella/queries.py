@@ -258,14 +258,14 @@ def extents_over_the_antimeridian(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 @_query(f"""
-WITH {_P}, {_Q} SELECT id, CASE WHEN cos(f) * cos(l) < 1.0 / 3 THEN true ELSE false END AS hidden FROM r WHERE abs(cos(f) * cos(l) - 1.0 / 3) > 0.001
+WITH {_P}, {_Q} SELECT id, CASE WHEN cos(f) * cos(l) < 1.0 / 3 THEN true ELSE false END AS hidden FROM r
 """)
 def horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points on a sphere that the horizon hides from a camera at three radii."""
     ball = geodesy.Ellipsoid(1.0, 1.0)
     df = _points(spark, sf_dir)
     p = ball.to_ecef(*_rad(df))
-    return df.where(F.abs(p.x - 1.0 / 3) > 0.001).select("id", ball.is_occluded(Vec.lit(3, 0, 0), p).alias("hidden"))
+    return df.select("id", ball.is_occluded(Vec.lit(3, 0, 0), p).alias("hidden"))
 
 
 # Volumes
@@ -312,22 +312,20 @@ def distances_to_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
 WITH {_T}, d AS (SELECT id, k, (x + 2 * y + 2 * z) / 3 - 0.1 AS d FROM t)
-SELECT id, k, CASE WHEN d < -0.05 THEN 'outside' WHEN d > 0.05 THEN 'inside' ELSE 'intersecting' END AS ball, CASE WHEN d < -0.05 * 5 / 3 THEN 'outside' WHEN d > 0.05 * 5 / 3 THEN 'inside' ELSE 'intersecting' END AS box FROM d WHERE abs(abs(d) - 0.05) > 1e-9 AND abs(abs(d) - 0.05 * 5 / 3) > 1e-9
+SELECT id, k, CASE WHEN d < -0.05 THEN 'outside' WHEN d > 0.05 THEN 'inside' ELSE 'intersecting' END AS ball, CASE WHEN d < -0.05 * 5 / 3 THEN 'outside' WHEN d > 0.05 * 5 / 3 THEN 'inside' ELSE 'intersecting' END AS box FROM d
 """)
 def plane_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ball and a cube around each point against a plane."""
     plane = Plane.coefficients(num(1), num(2), num(2), num(-0.3))
     p = _xyz()
-    d = F.abs(plane.distance(p))
-    df = _triples(spark, sf_dir).where((F.abs(d - 0.05) > 1e-9) & (F.abs(d - 0.05 * 5 / 3) > 1e-9))
-    return df.select("id", "k", Sphere(p, num(0.05)).plane(plane).alias("ball"), Aabb.around(p, Vec.lit(0.05, 0.05, 0.05)).plane(plane).alias("box"))
+    return _triples(spark, sf_dir).select("id", "k", Sphere(p, num(0.05)).plane(plane).alias("ball"), Aabb.around(p, Vec.lit(0.05, 0.05, 0.05)).plane(plane).alias("box"))
 
 
 @_query(f"""
 WITH {_T}, u AS (SELECT id, k, x / n AS x, y / n AS y, z / n AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM t) WHERE n > 0),
   s AS (SELECT *, -(2 * x) AS b, 4 - 1 AS c FROM (SELECT id, k, -x AS x, -y AS y, -z AS z FROM u)),
   h AS (SELECT id, k, x, y, z, b * b - c AS disc, -2 * x AS bb FROM s)
-SELECT id, k, CASE WHEN disc >= 0 AND -2 * x - sqrt(greatest(disc, 0)) >= 0 THEN round(-2 * x - sqrt(greatest(disc, 0)), 8) END AS ball, CASE WHEN abs(x) >= 1e-15 AND -2 / x >= 0 THEN round(-2 / x, 6) END AS plane FROM h WHERE abs(disc) > 1e-6
+SELECT id, k, CASE WHEN disc >= 0 AND -2 * x - sqrt(greatest(disc, 0)) >= 0 THEN round(-2 * x - sqrt(greatest(disc, 0)), 8) END AS ball, CASE WHEN abs(x) >= 1e-15 AND -2 / x >= 0 THEN round(-2 / x, 6) END AS plane FROM h
 """)
 def rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From (2, 0, 0) in the direction opposite to each triple: the unit ball and the plane x = 0."""
@@ -335,7 +333,6 @@ def rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _triples(spark, sf_dir).where(_xyz().length() > 0).withColumn("d", (-away).col())
     d = Vec.of("d")
     ray = Ray(Vec.lit(2, 0, 0), d)
-    df = df.where(F.abs(4 * d.x * d.x - 3) > 1e-6)
     return df.select("id", "k", F.round(ray.sphere(Sphere(Vec.lit(0, 0, 0), num(1))), 8).alias("ball"), F.round(ray.plane(Plane(Vec.lit(1, 0, 0), num(0))), 6).alias("plane"))
 
 
@@ -426,9 +423,9 @@ def tile_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", *(F.round(F.col(f"r.{c}"), 9).alias(c) for c in ("minx", "miny", "maxx", "maxy")))
 
 
-@_query(f"WITH {_TILES}, c AS (SELECT id, level, x, y, unnest([0, 1, 2, 3]) AS k FROM t WHERE level < 3) SELECT id, CAST(level + 1 AS INT) AS level, x * 2 + k % 2 AS x, y * 2 + k // 2 AS y FROM c")
+@_query(f"WITH {_TILES}, c AS (SELECT id, level, x, y, unnest([0, 1, 2, 3]) AS k FROM t) SELECT id, CAST(level + 1 AS INT) AS level, x * 2 + k % 2 AS x, y * 2 + k // 2 AS y FROM c")
 def tile_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _tiles(spark, sf_dir).where("level < 3").select("id", F.explode(Quad.of().children()).alias("c"))
+    df = _tiles(spark, sf_dir).select("id", F.explode(Quad.of().children()).alias("c"))
     return df.select("id", "c.level", "c.x", "c.y")
 
 
@@ -589,8 +586,8 @@ def view_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""
 WITH t AS (SELECT o_orderkey AS tile_id, o_custkey % 50 AS frame, CASE WHEN o_orderkey % 5 = 0 THEN 255 WHEN o_orderkey % 3 = 0 THEN 64 ELSE 128 END AS load_group, o_orderkey % 9 AS a, o_totalprice AS b, (o_orderkey * 7919 % 1000) / 1000.0 AS c, 1 / (1.0 + o_orderkey % 77) AS e FROM orders),
   m AS (SELECT frame, min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(c) AS c0, max(c) AS c1, min(e) AS e0, max(e) AS e1 FROM t GROUP BY frame),
-  s AS (SELECT t.frame, tile_id, load_group, (CASE WHEN a1 > a0 THEN (a - a0) * 1.0 / (a1 - a0) ELSE 0 END + CASE WHEN b1 > b0 THEN (b - b0) / (b1 - b0) ELSE 0 END + CASE WHEN c1 > c0 THEN (c - c0) / (c1 - c0) ELSE 0 END + CASE WHEN e1 > e0 THEN (e - e0) / (e1 - e0) ELSE 0 END) / 4 AS score FROM t JOIN m USING (frame)),
-  q AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY load_group DESC, score, tile_id) AS rank FROM s)
+  s AS (SELECT t.frame, tile_id, load_group, 4 * 0.25 * 1.0 - ((a - a0) * 1.0 / greatest(a1 - a0, 1.0) + (b - b0) / greatest(b1 - b0, 1e-10) + (c - c0) / greatest(c1 - c0, 1e-10) + (e - e0) / greatest(e1 - e0, 1e-10)) / 4 AS score FROM t JOIN m USING (frame)),
+  q AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY load_group DESC, score DESC, tile_id) AS rank FROM s)
 SELECT frame, tile_id, CAST(load_group AS INT) AS load_group, round(score, 9) AS score, CAST(rank AS INT) AS rank FROM q WHERE rank <= 20
 """)
 def load_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -649,13 +646,13 @@ def camera_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH RECURSIVE f AS (SELECT o_custkey AS view, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, o_totalprice AS used FROM orders WHERE o_custkey % 10 = 0),
+WITH RECURSIVE f AS (SELECT o_custkey AS view, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, o_totalprice AS used FROM orders),
   s AS (SELECT view, CAST(0 AS BIGINT) AS i, CAST(16 AS DOUBLE) AS t FROM (SELECT DISTINCT view FROM f) UNION ALL SELECT s.view, f.i, CASE WHEN f.used > 150000 THEN t * 1.02 ELSE greatest(16, t / 1.02) END FROM s JOIN f ON f.view = s.view AND f.i = s.i + 1)
 SELECT view, round(arg_max(t, i), 9) AS threshold FROM s GROUP BY view
 """)
 def memory_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The error threshold after each view's frames of memory use."""
-    df = _read(spark, sf_dir, "orders").where("o_custkey % 10 = 0").groupBy(F.col("o_custkey").alias("view")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))).alias("u"))
+    df = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("view")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))).alias("u"))
     return df.select("view", F.round(state.pressure(F.transform("u", lambda x: x["o_totalprice"]), 150000), 9).alias("threshold"))
 
 
@@ -749,3 +746,6 @@ def region_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat, h = region.center()
     inside, above = region.distance_squared(lon, lat, h), region.distance_squared(lon, lat, num(600))
     return _read(spark, sf_dir, "supplier").select(k.alias("id"), F.round(w, 9).alias("west"), F.round(s + 0.1, 9).alias("north"), region.contains(lon, lat, h).alias("contains"), F.round(inside, 3).alias("inside"), F.round(above, 3).alias("above"))
+
+
+from tessella import source_queries  # noqa: E402, F401  registers the queries of the sources

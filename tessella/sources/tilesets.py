@@ -6,16 +6,19 @@ one task; what it holds comes out as rows.
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 from collections.abc import Iterator
 from typing import Any
+from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TILE = "uri string, tile_id long, parent_id long, level int, geometric_error double, refine string, content_uri string, kind string, volume array<double>, transform array<double>"
+TILE = "uri string, tile_id long, parent_id long, level int, geometric_error double, refine string, content_uri string, kind string, volume array<double>, transform array<double>, content_uris array<string>"
 
 
 def documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -30,10 +33,16 @@ def _multiplied(a: list[float], b: list[float]) -> list[float]:
 _IDENTITY = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
 
 
+def _numbers(values: Any) -> bool:
+    return isinstance(values, list) and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values)
+
+
 def flatten(text: bytes | str) -> list[dict[str, Any]]:
     """Tiles of a tileset document, parents first: refinement is inherited, transforms are multiplied from the root.
 
-    A document that is no tileset, or has no root, gives no tile. Numbers that are missing are null.
+    A document that is no tileset, or has no root, gives no tile. Numbers that are missing or are no
+    numbers are null, volumes and transforms that are not all numbers are none. ``content_uri`` is the
+    first content's, ``content_uris`` has all of them.
     """
     try:
         root = json.loads(text).get("root")
@@ -47,23 +56,28 @@ def flatten(text: bytes | str) -> list[dict[str, Any]]:
         tile, parent, level, refine, above = open_.pop()
         refine = str(tile.get("refine") or refine).upper()
         own = tile.get("transform")
-        transform = _multiplied(above, own) if isinstance(own, list) and len(own) == 16 else above
-        volume = tile.get("boundingVolume") or {}
+        transform = _multiplied(above, own) if _numbers(own) and len(own) == 16 else above
+        volume = tile.get("boundingVolume")
+        volume = {k: v for k, v in volume.items() if _numbers(v)} if isinstance(volume, dict) else {}
         kind = next((k for k in ("box", "region", "sphere") if k in volume), "empty")
-        content = tile.get("content") or {}
+        several = tile.get("contents")
+        contents = [c for c in [tile.get("content"), *(several if isinstance(several, list) else [])] if isinstance(c, dict)]
+        uris = [u for c in contents if isinstance(u := c.get("uri") or c.get("url"), str)]
+        error = tile.get("geometricError")
         number = len(rows)
         rows.append({
-            "tile_id": number, "parent_id": parent, "level": level, "geometric_error": tile.get("geometricError"), "refine": refine.lower(), "content_uri": content.get("uri") or content.get("url"),
+            "tile_id": number, "parent_id": parent, "level": level, "geometric_error": float(error) if _numbers([error]) else None, "refine": refine.lower(), "content_uri": uris[0] if uris else None, "content_uris": uris,
             "kind": kind, "volume": [float(v) for v in volume.get(kind, [])], "transform": [float(v) for v in transform],
         })
-        open_ += [(c, number, level + 1, refine, transform) for c in reversed(tile.get("children") or []) if isinstance(c, dict)]
+        kids = tile.get("children")
+        open_ += [(c, number, level + 1, refine, transform) for c in reversed(kids if isinstance(kids, list) else []) if isinstance(c, dict)]
     return rows
 
 
 def tiles(docs: DataFrame) -> DataFrame:
     """One row for each tile of each tileset document (uri, content)."""
-    fields = ["tile_id", "parent_id", "level", "geometric_error", "refine", "content_uri", "kind", "volume", "transform"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    fields = ["tile_id", "parent_id", "level", "geometric_error", "refine", "content_uri", "kind", "volume", "transform", "content_uris"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,8 +95,11 @@ def nested(rows: list[dict[str, Any]], error: float) -> dict[str, Any]:
     root: dict[str, Any] = {}
     for r in rows:
         tile: dict[str, Any] = {"boundingVolume": {r["kind"]: r["volume"]} if r["kind"] != "empty" else {}, "geometricError": r["geometric_error"], "refine": r["refine"].upper()}
-        if r["content_uri"]:
-            tile["content"] = {"uri": r["content_uri"]}
+        uris = r.get("content_uris") or [r["content_uri"]] * bool(r["content_uri"])
+        if len(uris) == 1:
+            tile["content"] = {"uri": uris[0]}
+        elif uris:
+            tile["contents"] = [{"uri": u} for u in uris]
         made[r["tile_id"]] = tile
         if r["parent_id"] is None:
             root = tile
@@ -96,7 +113,10 @@ SUBTREE_MAGIC, GLB_MAGIC, JSON_CHUNK, BIN_CHUNK = 0x74627573, 0x46546C67, 0x4E4F
 
 
 def read_subtree(raw: bytes) -> dict[str, tuple[bool | None, bytes | None]] | None:
-    """Availability of tiles, contents and child subtrees, each a constant or a bitstream; None for a malformed file."""
+    """Availability of tiles, contents and child subtrees, each a constant or a bitstream; None for a malformed file.
+
+    Further contents of a tile are "content1", "content2" and so on.
+    """
     if len(raw) < 24:
         return None
     magic, version, json_size, bin_size = struct.unpack_from("<IIQQ", raw)
@@ -108,7 +128,6 @@ def read_subtree(raw: bytes) -> dict[str, tuple[bool | None, bytes | None]] | No
         views = head.get("bufferViews", [])
 
         def part(a: Any) -> tuple[bool | None, bytes | None]:
-            a = a[0] if isinstance(a, list) else a
             if a is None:
                 return None, None
             if "constant" in a:
@@ -120,7 +139,10 @@ def read_subtree(raw: bytes) -> dict[str, tuple[bool | None, bytes | None]] | No
                 raise ValueError("a view beyond its buffer")
             return None, bits
 
-        return {"tile": part(head.get("tileAvailability")), "content": part(head.get("contentAvailability")), "child": part(head.get("childSubtreeAvailability"))}
+        contents = head.get("contentAvailability")
+        contents = contents if isinstance(contents, list) else [contents]
+        several = {f"content{k}" if k else "content": part(c) for k, c in enumerate(contents or [None])}
+        return {"tile": part(head.get("tileAvailability")), **several, "child": part(head.get("childSubtreeAvailability"))}
     except (ValueError, KeyError, IndexError, TypeError, AttributeError):
         return None
 
@@ -147,7 +169,7 @@ def write_subtree(parts: dict[str, tuple[bool | None, bytes | None]]) -> bytes:
 
 
 def subtrees(docs: DataFrame) -> DataFrame:
-    """(uri, part, constant, bits) of subtree files: a row for each of tile, content and child; malformed files give none."""
+    """(uri, part, constant, bits) of subtree files: a row for each of tile, every content and child; malformed files give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,37 +215,87 @@ _COMPONENT = {5120: ("b", 1), 5121: ("B", 1), 5122: ("h", 2), 5123: ("H", 2), 51
 _WIDTH = {"SCALAR": 1, "VEC2": 2, "VEC3": 3, "VEC4": 4, "MAT2": 4, "MAT3": 9, "MAT4": 16}
 
 
-def accessor_values(text: str, body: bytes, number: int) -> list[tuple[float, ...]]:
-    """The elements of an accessor in the binary chunk, by its view's stride; zeros without a view; empty beyond the chunk."""
-    model = json.loads(text)
+def _buffer(model: dict[str, Any], body: bytes, number: int) -> bytes:
+    """A buffer's bytes: the binary chunk for the first without a URI, a data URI's own; KeyError for one that stands elsewhere."""
+    uri = model["buffers"][number].get("uri") if "buffers" in model else None
+    if uri is None and number == 0:
+        return body
+    head, comma, data = (uri or "").partition(",")
+    if not comma or not head.startswith("data:"):
+        raise KeyError("an external buffer")
+    return base64.b64decode(data) if head.endswith(";base64") else unquote_to_bytes(data)
+
+
+def _elements(model: dict[str, Any], body: bytes, view: int, start: int, code: str, size: int, width: int, count: int) -> np.ndarray:
+    """Elements of a buffer view, by its stride."""
+    at = model["bufferViews"][view]
+    raw, step = _buffer(model, body, at.get("buffer", 0)), at.get("byteStride") or size * width
+    start += at.get("byteOffset", 0)
+    if count and start + step * (count - 1) + size * width > len(raw):
+        raise ValueError("a view beyond its buffer")
+    if not count:
+        return np.zeros((0, width))
+    rows = np.lib.stride_tricks.as_strided(np.frombuffer(raw, np.uint8, offset=start), (count, size * width), (step, 1), writeable=False)
+    return np.ascontiguousarray(rows).view(f"<{code}").reshape(count, width).astype(float)
+
+
+def accessor_array(model: dict[str, Any], body: bytes, number: int) -> np.ndarray:
+    """The elements of an accessor, sparse ones in their places, normalised integers in 0..1 or -1..1; zeros without a view."""
     a = model["accessors"][number]
     code, size = _COMPONENT[a["componentType"]]
-    width = _WIDTH[a["type"]]
-    if "bufferView" not in a:
-        return [(0.0,) * width] * a["count"]
-    view = model["bufferViews"][a["bufferView"]]
-    step = view.get("byteStride") or size * width
-    start = view.get("byteOffset", 0) + a.get("byteOffset", 0)
-    if a["count"] and start + step * (a["count"] - 1) + size * width > len(body):
+    width, n = _WIDTH[a["type"]], int(a["count"])
+    if n < 0:
+        raise ValueError("a negative count")
+    out = _elements(model, body, a["bufferView"], a.get("byteOffset", 0), code, size, width, n) if "bufferView" in a else np.zeros((n, width))
+    if sparse := a.get("sparse"):
+        m, at, to = int(sparse["count"]), sparse["indices"], sparse["values"]
+        kind, wide = _COMPONENT[at["componentType"]]
+        places = _elements(model, body, at["bufferView"], at.get("byteOffset", 0), kind, wide, 1, m)[:, 0].astype(np.int64)
+        out = out.copy()
+        out[places] = _elements(model, body, to["bufferView"], to.get("byteOffset", 0), code, size, width, m)
+    if a.get("normalized") and code != "f":
+        out = np.maximum(out / float((1 << 8 * size - code.islower()) - 1), -1.0)
+    return out
+
+
+def accessor_values(text: str, body: bytes, number: int) -> list[tuple[float, ...]]:
+    """``accessor_array`` as tuples; empty where it cannot be read."""
+    try:
+        return [tuple(v) for v in accessor_array(json.loads(text), body, number).tolist()]
+    except _UNREADABLE:
         return []
-    return [struct.unpack_from(f"<{width}{code}", body, start + k * step) for k in range(a["count"])]
+
+
+_UNREADABLE = (ValueError, KeyError, IndexError, TypeError, AttributeError)
 
 
 def accessors(docs: DataFrame) -> DataFrame:
-    """(uri, accessor, element, value) of binary glTF files: every element of every accessor as an array of doubles."""
+    """(uri, accessor, element, value, reject) of binary glTF files: every element of every accessor as an array of doubles.
+
+    A file, or an accessor, that cannot be read has one row with the reason and no value; the rest is read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["uri", "accessor", "element", "value", "reject"], (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.string())
         for batch in batches:
             for uri, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = read_glb(content.as_py() or b"")
-                for k in range(len(json.loads(found[0]).get("accessors", [])) if found else 0):
-                    values = accessor_values(*found, k)
-                    n = len(values)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([uri] * n, pa.string()), pa.array([k] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([list(map(float, v)) for v in values], pa.list_(pa.float64()))], ["uri", "accessor", "element", "value"]
-                    )
-
-    return docs.select("uri", "content").mapInArrow(run, "uri string, accessor int, element int, value array<double>")
+                found, rows = read_glb(content.as_py() or b""), []
+                try:
+                    model = json.loads(found[0]) if found else None
+                    number = len(model.get("accessors", []))
+                except _UNREADABLE:
+                    number, rows = 0, [([None], [None], [None], "no binary glTF")]
+                for k in range(number):
+                    try:
+                        values = accessor_array(model, found[1], k).tolist()
+                        rows.append(([k] * len(values), range(len(values)), values, None))
+                    except _UNREADABLE as e:
+                        rows.append(([k], [None], [None], str(e) or type(e).__name__))
+                for number_, element, value, reject in rows:
+                    columns = ([uri] * len(value), number_, element, value, [reject] * len(value))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return docs.select("uri", "content").mapInArrow(run, "uri string, accessor int, element int, value array<double>, reject string")
 
 
 def layer_json(tiles_: DataFrame, template: str = "{z}/{x}/{y}.terrain", kind: str = "quantized-mesh-1.0") -> str:
