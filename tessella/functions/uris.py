@@ -78,13 +78,18 @@ def expand(template: Column, values: dict[str, Column]) -> Column:
     return out
 
 
+def host_of_tile(x: Column, y: Column, hosts: list[str]) -> Column:
+    """One of a service's hosts, always the same one for a tile."""
+    return F.element_at(F.array(*map(F.lit, hosts)), (F.pmod(x + y, F.lit(len(hosts))) + 1).cast("int"))
+
+
 def tile_url(template: Column, level: Column, x: Column, y: Column, rows: Column | None = None, hosts: list[str] | None = None) -> Column:
     """{z}, {x}, {y}, {reverseY} and {s} of an imagery template; the host is picked by the tile, always the same one."""
     values = {"z": level, "x": x, "y": y}
     if rows is not None:
         values["reverseY"] = rows - 1 - y
     if hosts:
-        values["s"] = F.element_at(F.array(*map(F.lit, hosts)), (F.pmod(x + y, F.lit(len(hosts))) + 1).cast("int"))
+        values["s"] = host_of_tile(x, y, hosts)
     return expand(template, values)
 
 

@@ -748,4 +748,4 @@ def region_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "supplier").select(k.alias("id"), F.round(w, 9).alias("west"), F.round(s + 0.1, 9).alias("north"), region.contains(lon, lat, h).alias("contains"), F.round(inside, 3).alias("inside"), F.round(above, 3).alias("above"))
 
 
-from tessella import source_queries  # noqa: E402, F401  registers the queries of the sources
+from tessella import service_queries, source_queries  # noqa: E402, F401  registers the queries of map services and of the sources

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import availability, codecs, geodesy, tiles, uris, vectors, volumes
+from tessella.functions import availability, codecs, geodesy, projections, services, tiles, uris, vectors, volumes
 from tessella.functions.geodesy import WGS84, GlobeRectangle
 from tessella.functions.tiles import Oct, OctScheme, Quad, QuadScheme
 from tessella.functions.vectors import Vec, num
@@ -247,3 +247,52 @@ def test_region_distance(one):
     assert at(10.5, 22, 500) == pytest.approx(110_700, rel=0.01)
     assert at(12, 20.5, 500) == pytest.approx(104_300, rel=0.02)
     assert at(9, 20.5, 500) == pytest.approx(104_300, rel=0.02)
+
+
+def test_axes_turn_back(one):
+    for a in "xyz":
+        for b in "xyz":
+            there_and_back = one(vectors.multiply(projections.up_axis(b, a), projections.up_axis(a, b)))
+            assert np.allclose(there_and_back, np.eye(4).ravel())
+            up = vec(one, vectors.transform_direction(projections.up_axis(a, b), Vec.lit(*(float(k == a) for k in "xyz"))))
+            assert np.allclose(up, [k == b for k in "xyz"])
+
+
+def test_quaternions_of_half_turns(one):
+    """No part is picked that may be zero: turns by 180 degrees about each axis, and none."""
+    frames = {(1, 0, 0, 0): (1, -1, -1), (0, 1, 0, 0): (-1, 1, -1), (0, 0, 1, 0): (-1, -1, 1), (0, 0, 0, 1): (1, 1, 1)}
+    for q, (a, b, c) in frames.items():
+        assert np.allclose(one(projections.quaternion(Vec.lit(a, 0, 0), Vec.lit(0, b, 0), Vec.lit(0, 0, c))), q)
+
+
+def test_quaternion_agrees_with_compose(one):
+    q = np.array([0.5, -0.1, 0.7, 0.2])
+    q = q / np.linalg.norm(q)
+    m = vectors.compose(Vec.lit(0, 0, 0), tuple(map(num, q)), Vec.lit(1, 1, 1))
+    found = np.array(one(projections.quaternion(Vec.array(m), Vec.array(m, 4), Vec.array(m, 8))))
+    assert np.allclose(found * np.sign(found @ q), q)
+    turned = projections.rotated(F.array(*map(num, q)), Vec.lit(3, 4, 5))
+    assert np.allclose(vec(one, turned), vec(one, vectors.transform_point(m, Vec.lit(3, 4, 5))))
+
+
+def test_projections_without_far_plane(one):
+    by_angle = one(projections.perspective(num(np.pi / 2), num(np.pi / 2), num(0.5)))
+    assert np.allclose(by_angle, one(projections.perspective_bounds(*map(num, (-0.5, 0.5, -0.5, 0.5, 0.5)))))
+    near = np.array(by_angle).reshape(4, 4).T @ [0, 0, -0.5, 1]
+    assert np.allclose(near[2] / near[3], 1)
+    flat = np.array(one(projections.orthographic(*map(num, (-1, 1, -1, 1, 0.5))))).reshape(4, 4).T
+    assert np.allclose(flat @ [1, 1, -7, 1], [1, -1, 1, 1])
+
+
+def test_box_of_extent(one):
+    box = projections.box_of_extent(Aabb(Vec.lit(-1, 0, 2), Vec.lit(3, 4, 8)))
+    assert np.allclose(one(box.to_array()), [1, 2, 5, 2, 0, 0, 0, 2, 0, 0, 0, 3])
+
+
+def test_map_service_nulls_and_numbers(one):
+    none = F.lit(None).cast("bigint")
+    level, x = F.lit(3), F.lit(5).cast("bigint")
+    assert one(services.quadkey(level, none, x)) is None and one(services.quadkey(F.lit(0), x, x)) == "" and one(services.quadkey(level, x, F.lit(3).cast("bigint"))) == "123"
+    assert one(services.wms("u", Rectangle(none, x, x, x), "l")) is None
+    assert one(services.wmts("u", level, none, x, "l", "m")) is None
+    assert one(*(services.plain(num(v)) for v in (-0.0, 180, 1e-7, -85.05112878, 20037508.342789244))) == ("0", "180", "0.0000001", "-85.05112878", "20037508.342789244")
