@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +41,8 @@ _MARKS = "".join(c for c in _STRIP if c not in LEET)
 #: Character classes of the trigram model: 0 is a word's edge, 1 to 26 are a to z, the rest other letters by code.
 CLASSES = 64
 #: Tokens whose features a worker remembers.
-_REMEMBER = 200_000
-_CHARS_AT_ONCE = 1 << 20
+_REMEMBER = 60_000
+_CHARS_AT_ONCE = 1 << 17
 
 
 def _class(c: str) -> int:
@@ -316,11 +315,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def score_column(model: Model, text: Column) -> Column:
     """The score of a text column, for use in any expression; null and empty texts score the base rate."""
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # Arrow arrays: a batch of whole texts becomes Python strings one at a time, not all at once.
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         read = _Reader(model.chars, model.weights)
         for texts in batches:
-            yield pd.Series([_probability(model, read(t)) for t in texts], dtype="float64")
+            yield pa.array([_probability(model, read(t.as_py())) for t in texts], pa.float64())
 
     return run(text.cast("string"))
 
