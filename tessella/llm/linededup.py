@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tessella.llm.components import connected_components
 from tessella.llm.quality import restored, without
 from tessella.llm.scratch import Scratch
+from tessella.llm.workers import lean
 
 #: Lines verified together; a larger bucket is split.
 BLOCK = 512
@@ -300,7 +301,7 @@ def line_links(docs: DataFrame, occurrences: DataFrame, named: DataFrame, scratc
     places = named.join(_small(wanted), "key", "left_semi").groupBy("first.doc_id").agg(F.collect_list("first.pos").alias("wanted"))
     places = scratch.table(places, "places")
     texts = docs.join(_small(places, _LONG, _numbers(places, "wanted")), "doc_id").select("text", "wanted")
-    lines = texts.mapInArrow(read, lines_as).groupBy("key").agg(F.first("line").alias("line"))
+    lines = texts.mapInArrow(lean(read), lines_as).groupBy("key").agg(F.first("line").alias("line"))
     lines = scratch.table(lines, "lines")
     part = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
     members = members.withColumn("part", part)
@@ -329,7 +330,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    every = scratch.table(docs.mapInArrow(_occurrences(width, bands, rows), _SIGNATURE), "occurrences")
+    every = scratch.table(docs.mapInArrow(lean(_occurrences(width, bands, rows)), _SIGNATURE), "occurrences")
     named = scratch.table(every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")), "named")
     classes = scratch.table(line_links(docs, every, named, scratch, width, similarity, block), "classes")
     scratch.drop("sets", "wanted", "places", "lines", "edges", "marked", "pairs", "more")

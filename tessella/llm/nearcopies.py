@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.linededup import _BASE, _LONG, _held, _mix, _slices, _small, line_links, with_first
 from tessella.llm.scratch import Scratch
+from tessella.llm.workers import lean
 
 #: Texts verified together, and texts, on average, that one call of the verification gets.
 BLOCK, CALL = 128, 512
@@ -103,7 +104,7 @@ def gone(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """
     scratch = Scratch(docs.sparkSession, "nearcopies")
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
-    every = scratch.table(docs.mapInArrow(_signatures(width, bands, rows), "doc_id long, key binary, sig array<long>"), "every")
+    every = scratch.table(docs.mapInArrow(lean(_signatures(width, bands, rows)), "doc_id long, key binary, sig array<long>"), "every")
     named = scratch.table(every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", F.lit(0).alias("pos"))).alias("first")), "named")
     links = line_links(docs, every, named, scratch, width, similarity, block, _texts, "key binary, line binary", shingle_sets, CALL)
     classes = scratch.table(links, "classes")

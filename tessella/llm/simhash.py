@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
 from tessella.llm.scratch import Scratch
+from tessella.llm.workers import lean
 
 SEED = 42
 QUARTERS = 4
@@ -74,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _tile(fp: F.Column) -> F.Column:

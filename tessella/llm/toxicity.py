@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.scratch import Scratch
+from tessella.llm.workers import give_back, lean
 
 #: Labelled rows that the model is fitted on, at most: those of the lowest hash of their id.
 MAX_ROWS = 20_000
@@ -41,7 +42,7 @@ _MARKS = "".join(c for c in _STRIP if c not in LEET)
 #: Character classes of the trigram model: 0 is a word's edge, 1 to 26 are a to z, the rest other letters by code.
 CLASSES = 64
 #: Tokens whose features a worker remembers.
-_REMEMBER = 60_000
+_REMEMBER = 200_000
 _CHARS_AT_ONCE = 1 << 17
 
 
@@ -95,7 +96,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["code", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(CLASSES**3)
     for code, n in rows:
         counts[code] = n
@@ -264,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     part = batch.slice(at, 100)
                     yield pa.RecordBatch.from_arrays([pa.array([sorted(read(t.as_py())) for t in part.column(0)], pa.list_(pa.string())), part.column(1)], ["found", "toxic"])
 
-        return run
+        return lean(run)
 
     def counted(rows: DataFrame) -> DataFrame:
         clean = F.lit(1) - F.col("toxic")
@@ -309,7 +310,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 why.append(sorted(f for f in found if model.weights[f] > 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(why, pa.list_(pa.string()))], ["doc_id", "score", "evidence"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<string>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double, evidence array<string>")
 
 
 def score_column(model: Model, text: Column) -> Column:
@@ -321,6 +322,8 @@ def score_column(model: Model, text: Column) -> Column:
         read = _Reader(model.chars, model.weights)
         for texts in batches:
             yield pa.array([_probability(model, read(t.as_py())) for t in texts], pa.float64())
+        del read
+        give_back()
 
     return run(text.cast("string"))
 
