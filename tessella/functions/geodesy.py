@@ -160,13 +160,17 @@ class Ellipsoid:
             return F.when(t["ok"], t).otherwise(packed(nxt, t["s0"], t["m"], t["b"], F.abs(nxt - t["s"]) < 1e-12))
 
         sigma = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), packed(s0, s0, F.atan2(tu1, ca1), b, F.lit(False)), step, lambda t: F.when(t["ok"], t["s"]))
-        ss, cs, c2m = F.sin(sigma), F.cos(sigma), F.cos(2 * F.atan2(tu1, ca1) + sigma)
-        lat2 = F.atan2(su1 * cs + cu1 * ss * ca1, (1 - f) * F.hypot(sa, su1 * ss - cu1 * cs * ca1))
-        turn = F.atan2(ss * sa1, cu1 * cs - su1 * ss * ca1)
-        c = f / 16 * ca2 * (4 + f * (4 - 3 * ca2))
-        gap = turn - (1 - c) * f * sa * (sigma + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1)))
-        two = F.atan2(sa, cu1 * cs * ca1 - su1 * ss)
-        return F.when(sigma.isNotNull(), F.struct(wrap_pi(lon + gap).alias("lon"), lat2.alias("lat"), two.alias("azimuth2")))
+
+        def reached(sigma: Column) -> Column:
+            ss, cs, c2m = F.sin(sigma), F.cos(sigma), F.cos(2 * F.atan2(tu1, ca1) + sigma)
+            lat2 = F.atan2(su1 * cs + cu1 * ss * ca1, (1 - f) * F.hypot(sa, su1 * ss - cu1 * cs * ca1))
+            turn = F.atan2(ss * sa1, cu1 * cs - su1 * ss * ca1)
+            c = f / 16 * ca2 * (4 + f * (4 - 3 * ca2))
+            gap = turn - (1 - c) * f * sa * (sigma + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1)))
+            two = F.atan2(sa, cu1 * cs * ca1 - su1 * ss)
+            return F.when(sigma.isNotNull(), F.struct(wrap_pi(lon + gap).alias("lon"), lat2.alias("lat"), two.alias("azimuth2")))
+
+        return let(sigma, reached)
 
     def enu(self, p: Vec) -> tuple[Vec, Vec, Vec]:
         """East, north and up at an earth-centred point."""

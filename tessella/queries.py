@@ -149,7 +149,9 @@ def geodesic_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.withColumn("there", WGS84.direct(lon, lat, F.radians(F.col("id") % 350 + 3.0), num(50000)))
     df = df.withColumn("way", WGS84.inverse(F.col("there.lon"), F.col("there.lat"), lon, lat))
     df = df.withColumn("back", WGS84.direct(F.col("there.lon"), F.col("there.lat"), F.col("way.azimuth1"), F.col("way.distance")))
-    return df.select("id", F.round(F.degrees("back.lon") + 0.0, 6).alias("lon"), F.round(F.degrees("back.lat") + 0.0, 6).alias("lat"), F.round("way.distance", 3).alias("d"))
+    # On the antimeridian the way back ends on either side of it by a last bit: longitudes run from -180, and 180 is -180.
+    df = df.withColumn("lon", F.round(F.degrees("back.lon") + 0.0, 6))
+    return df.select("id", F.when(F.col("lon") >= 180, F.col("lon") - 360).otherwise(F.col("lon")).alias("lon"), F.round(F.degrees("back.lat") + 0.0, 6).alias("lat"), F.round("way.distance", 3).alias("d"))
 
 
 @_query(f"""

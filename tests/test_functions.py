@@ -48,6 +48,15 @@ def test_geodesic_edge_cases(one):
     assert abs(lat - math.pi / 2) < 1e-9 and abs(h + 50) < 1e-6
 
 
+def test_direct_iterates_once(spark):
+    # Flinders Peak to Buninyong, as above; the plan holds one iteration, not one for every use of its result.
+    a = [math.radians(v) for v in (144 + 25 / 60 + 29.52440 / 3600, -(37 + 57 / 60 + 3.72030 / 3600), 306 + 52 / 60 + 5.37 / 3600)]
+    df = spark.range(1).select(WGS84.direct(*(F.col("id") + v for v in (*a, 54972.271))).alias("to"))
+    to = df.first()["to"]
+    assert abs(math.degrees(to["lon"]) - (143 + 55 / 60 + 35.38390 / 3600)) < 1e-6 and abs(math.degrees(to["lat"]) + (37 + 39 / 60 + 10.15610 / 3600)) < 1e-6
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
 def test_enu_is_orthonormal(one):
     for lon, lat in ((0.3, 0.7), (-2, -1.2), (0, math.pi / 2)):
         axes = [vec(one, a) for a in WGS84.enu(WGS84.to_ecef(num(lon), num(lat)))]

@@ -39,6 +39,19 @@ def test_query(spark, data, db, name):
     assert len(got) == len(want) and got == want
 
 
+def test_geodesic_round_trip_on_the_antimeridian(spark, tmp_path):
+    """Keys beyond the small tables: multiples of 36,000 lie at -180 degrees, on either side of which the way back may end."""
+    keys = sorted({36000 * k for k in range(30)} | {17999, 18000, 35999, 36001, 59999})
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    df = Q.QUERIES["geodesic_round_trip"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    found = con.execute(Q.ORACLES["geodesic_round_trip"])
+    columns = [c[0] for c in found.description]
+    want = rows(columns, found.fetchall())
+    assert len(want) == len(keys) and rows(df.columns, df.collect()) == want
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
